@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import common, line_dedup, mixing
+from millrace.llm import common, line_dedup, mixing, ngram_join, packing, quality
 
 #: (name, function of (spark, docs, sf_dir)); each stage's result is written and read again as the next one's docs.
 STAGES = [
+    ("quality_classifier", quality.stage),
     ("line_dedup", line_dedup.stage),
+    ("ngram_jaccard_join", ngram_join.stage),
     ("mixing", mixing.stage),
+    ("best_fit_packing", packing.stage),
 ]
 
 #: The trained model, the tokenizer and the packing have no twin in SQL; tests hold run() against plain Python instead.
