@@ -6,14 +6,40 @@ the ids of a text are the ids of its pieces in a row. Texts where that is not ce
 from __future__ import annotations
 
 import os
+import re
+from itertools import chain
 
 import numpy as np
 
-#: Words that a worker remembers; then it starts anew.
+#: Pieces that a worker remembers; then it starts anew.
 REMEMBER = 600_000
+#: Longer pieces are not remembered; their texts are encoded whole.
+LONGEST = 200
+#: A word of Latin-1 letters and the marks that may follow it. Letters and marks never share a token.
+WORD = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+PROBE = ["the", "Über", "naïve", "ñandú", "ß", "Zug", "xqzvk", "Ærø"]
 _coders: dict[str, Coder] = {}
 
 
+def byte_letters() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself, or the next from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
+
+class Index(dict):
+    """Numbers of pieces; a new piece gets the next number and is noted as pending."""
+
+    def __init__(self) -> None:
+        self.pending: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.pending.append(piece)
+        return n
+
+
 class Coder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -21,60 +47,92 @@ class Coder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = byte_letters()
+        self.lower = "Lowercase" in str(self.tokenizer.normalizer)
+        self.space = self.letters[32] if self.tokenizer.normalizer is None else ""
+        self.direct = all(self.of_word(w) == self.encode([f" {w}"])[0] for w in PROBE)
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {"": -1}
+        self.index = Index()
+        self.words: dict[str, list[int]] = {}
+        self.ends: dict[str, list[int]] = {"": []}
         self.lens, self.starts, self.ids = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
         self.n = self.end = 0
 
-    def encode(self, texts: list[str]) -> list:
+    def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Remembers the ids of pieces, each as it is after a space; a piece that could depend on its surroundings gets -1."""
-        sure = []
-        for piece in pieces:
-            if not piece or piece[0].isspace() or piece[0] in "\x1c\x1d\x1e\x1f" or any(m in piece for m in self.marks):
-                self.index[piece] = -1
+    def of_word(self, word: str) -> list[int]:
+        """The ids of a word of Latin-1 letters after a space, from the vocabulary's model itself."""
+        word = word.lower() if self.lower else word
+        text = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        return [t.id for t in self.tokenizer.model.tokenize(self.space + text)]
+
+    def learn(self) -> None:
+        """The ids of the pending pieces: those that start with a space as they are without it at a text's start, others as
+        they are after a space. Pieces that could depend on their surroundings get a length of -1."""
+        rest, got = [], []
+        for piece in self.index.pending:
+            word = WORD.fullmatch(piece) if self.direct else None
+            ids = None
+            if word:
+                ids = self.words.get(word[1])
+                if ids is None:
+                    ids = self.words[word[1]] = self.of_word(word[1])
+                if word[2]:
+                    if word[2] not in self.ends:
+                        self.ends[word[2]] = self.encode([word[2]])[0]
+                    ids = ids + self.ends[word[2]]
             else:
-                sure.append(piece)
-        got = self.encode([f" {p}" for p in sure])
+                body = piece[1:] if piece[:1] == " " else piece
+                head = piece[:1] == " "
+                if len(body) > LONGEST or (not head and (not body or body[0].isspace())) or any(m in body for m in self.marks):
+                    ids = []
+                    rest.append((len(got), None))
+                else:
+                    rest.append((len(got), body if head else f" {body}"))
+            got.append(ids)
+        plain = [(i, p) for i, p in rest if p is not None]
+        for (i, _), ids in zip(plain, self.encode([p for _, p in plain]), strict=True):
+            got[i] = ids
         lens = np.fromiter(map(len, got), np.int32, len(got))
         total = int(lens.sum())
         while self.n + len(got) > len(self.lens):
             self.lens, self.starts = np.resize(self.lens, 2 * len(self.lens)), np.resize(self.starts, 2 * len(self.starts))
         while self.end + total > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.lens[self.n : self.n + len(got)] = lens
         self.starts[self.n : self.n + len(got)] = self.end + np.cumsum(lens) - lens
-        self.ids[self.end : self.end + total] = np.fromiter((i for ids in got for i in ids), np.uint32, total)
-        self.index.update(zip(sure, range(self.n, self.n + len(sure)), strict=True))
+        self.ids[self.end : self.end + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
+        lens[[i for i, p in rest if p is None]] = -1
+        self.lens[self.n : self.n + len(got)] = lens
         self.n, self.end = self.n + len(got), self.end + total
+        self.index.pending = []
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
+        if not texts:
+            return []
         if self.n > REMEMBER:
             self.clear()
         split = [t.split(" ") for t in texts]
-        index = self.index
-        new = {p for words in split for p in words[1:] if p not in index}
-        if new:
-            self.learn(list(new))
-        heads = self.encode([w[0] if len(w) > 1 else t for w, t in zip(split, texts, strict=True)])
-        out = []
-        for words, head, text in zip(split, heads, texts, strict=True):
-            if len(words) == 1:
-                out.append(np.array(head, np.uint32))
-                continue
-            at = np.fromiter(map(index.__getitem__, words[1:]), np.int64, len(words) - 1)
-            if at.min() < 0 or any(m in words[0] for m in self.marks):
-                out.append(np.array(self.encode([text])[0], np.uint32))
-                continue
-            lens = self.lens[at]
-            ends = np.cumsum(lens)
-            where = np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(ends[-1])
-            out.append(np.concatenate([np.array(head, np.uint32), self.ids[where]]))
+        for words in split:
+            words[0] = f" {words[0]}"
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        if self.index.pending:
+            self.learn()
+        first = np.cumsum(counts) - counts
+        lens = self.lens[at].astype(np.int64)
+        unsure = np.minimum.reduceat(lens, first) < 0
+        lens = np.maximum(lens, 0)
+        ends = np.cumsum(lens)
+        flat = self.ids[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(int(ends[-1]))]
+        stops = ends[first + counts - 1]
+        out = [flat[a:b] for a, b in zip((stops - np.add.reduceat(lens, first)).tolist(), stops.tolist(), strict=True)]
+        whole = np.flatnonzero(unsure).tolist()
+        for i, ids in zip(whole, self.encode([texts[i] for i in whole]), strict=True):
+            out[i] = np.array(ids, np.uint32)
         return out
 
 
