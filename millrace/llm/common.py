@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,9 +30,15 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, with its lineage cut; survives the loss of any executor."""
+    """df computed once and kept in the shared folder, with its lineage cut; survives the loss of any executor.
+
+    What no plan needs any more is let go of: Spark deletes shuffle files once the driver has collected their plans."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def with_size(df: DataFrame, text: str = "text", name: str = "size") -> DataFrame:
@@ -60,23 +67,26 @@ def running_totals(df: DataFrame, order: list, values: list[str], parts: int | N
     )
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: int = 2000, salts: int = 64) -> DataFrame:
-    """left joined with right, which has one row per key, where a key may hold any part of left's rows.
+def salted(left: DataFrame, right: DataFrame, key: str, share: int = 2000, salts: int = 64) -> tuple[DataFrame, DataFrame, list[str]]:
+    """left and right, which has one row per key, and the columns to join them on, where a key may hold any part of left's rows.
 
     Keys with more than 1/share of left's rows, of which there are at most `share`, are found by an aggregation and
-    spread: their rows in left get a salt, their single rows in right a copy for each salt."""
+    spread: their rows in left get a salt, their single rows in right a copy for each salt. left is read twice more."""
+    least = max(1000, left.count() // share)
     counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = left.count()
-    least = max(1000, total // share)
-    if total <= least:
-        return left.join(right, key, how)
     heavy = [r[0] for r in counts.where(F.col("_n") > least).select(key).collect()]  # at most `share` keys
     if not heavy:
-        return left.join(right, key, how)
+        return left, right, [key]
     among = F.col(key).isin(heavy) if len(heavy) < 50 else F.array_contains(F.array(*[F.lit(x) for x in heavy]), F.col(key))
     spread = left.withColumn("_salt", F.when(among, F.pmod(F.xxhash64(*[c for c in left.columns if c != key] or [key]), F.lit(salts)).cast("int")).otherwise(0))
     copies = right.withColumn("_salt", F.explode(F.when(among, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return spread.join(copies, [key, "_salt"], how).drop("_salt")
+    return spread, copies, [key, "_salt"]
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row per key, where a key may hold any part of left's rows; see salted."""
+    spread, copies, on = salted(left, right, key)
+    return spread.join(copies, on, how).drop("_salt")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -4,7 +4,7 @@ Sets are reduced in three exact steps. Equal sets are one class. Prefix lists ke
 among their first fifth in one fixed order; a set and the first set of its lists are compared, and those that link form a
 cluster around that centre. Then whole clusters are compared by their centres: Jaccard distance is a metric, so that from
 the answers for two centres those for all their members follow, unless the centres are close; only then are members
-compared, skipping by length, by position in the list and by their distances to their centres."""
+compared, skipping by length, by position in the list, by the number of lists shared and by their distances to their centres."""
 
 from __future__ import annotations
 
@@ -12,11 +12,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.arrowtext import batches, slices
-from millrace.llm.common import components, cut, lookup, table
+from millrace.llm.common import components, cut, lookup, salted, table
 from millrace.llm.textsets import shingles, words
 
 K, PERCENT = 5, 80
@@ -114,18 +114,20 @@ def shared_entries(classes: DataFrame, last: np.ndarray) -> DataFrame:
 def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """pairs (a, b, ...) with o, na and nb: sizes of the intersection and of the two documents' sets, from their whole texts."""
     pairs = cut(pairs)
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    few = ids.count() <= SENT
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id")
 
     def run(it):
         for batch in batches(it, 1000):
             found = [s.tobytes() for _, s in sets_of(batch)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary())], names=["node", "set"])
 
-    sets = cut(texts.mapInArrow(run, "node long, set binary"))
-    left = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    both = lookup(left, sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+    def sets(of: str) -> DataFrame:
+        ids = cut(pairs.select(F.col(of).alias("doc_id")).distinct())
+        ids = F.broadcast(ids) if ids.count() <= SENT else ids
+        return docs.select("doc_id", "text").join(ids, "doc_id").mapInArrow(run, "node long, set binary").withColumnsRenamed({"node": of, "set": f"set_{of}"})
+
+    # hot centres are found on the bare pairs, so that sets move only once
+    spread, copies, on = salted(pairs, sets("a"), "a")
+    both = spread.join(sets("b"), "b").join(copies, on)
     names = pairs.columns
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
 
@@ -146,12 +148,23 @@ def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 LINKED = "100L * o >= 80L * (na + nb - o)"
 
 
+def enough(c: str, n: str, m: str) -> Column:
+    """Whether sets of n and m shingles that share c in their prefixes can link at all.
+
+    All shared shingles up to the smaller of the prefixes' last ones are in both prefixes; so one set's rest bounds the others."""
+    rest = F.greatest(*[F.floor((PERCENT * F.col(x) + 99) / 100) - 1 for x in (n, m)])
+    return 9 * (F.col(c) + rest) >= 4 * (F.col(n) + F.col(m))
+
+
 def links(classes: DataFrame, docs: DataFrame, last: np.ndarray) -> DataFrame:
     """(a, b) links that connect exactly what the links of all pairs of classes (node, n, prefix) connect."""
     entries = shared_entries(classes, last)
     # clusters: each set against the first set of its lists that it shares most with
-    firsts = entries.groupBy("s").agg(F.min("node").alias("first"))
-    met = lookup(entries, firsts, "s").where("node != first").groupBy("node", "first").agg(F.count("*").alias("c"))
+    firsts = entries.groupBy("s").agg(F.min(F.struct("node", "n")).alias("f")).select("s", F.col("f.node").alias("first"), F.col("f.n").alias("nf"))
+    met = lookup(entries, firsts, "s").where("node != first").groupBy("node", "first").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("nf").alias("nf"))
+    alike = (PERCENT * F.col("n") <= 100 * F.col("nf")) & (PERCENT * F.col("nf") <= 100 * F.col("n"))
+    # a quarter of the shorter prefix: what misses it here is met as a cluster of its own below
+    met = met.where(alike & enough("c", "n", "nf") & (4 * 100 * F.col("c") >= (100 - PERCENT) * F.least("n", "nf")))
     best = met.groupBy("node").agg(F.max(F.struct("c", (-F.col("first")).alias("k"))).alias("m")).select(F.col("node").alias("b"), (-F.col("m.k")).alias("a"))
     answers = compare(best, docs)
     close = answers.where(LINKED)
@@ -160,9 +173,10 @@ def links(classes: DataFrame, docs: DataFrame, last: np.ndarray) -> DataFrame:
     roots = components(edges)
     of = known.join(roots, "node", "full").select("node", F.coalesce("centre", "node").alias("centre"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "node").alias("component"))
     placed = entries.join(of, "node", "left").select("s", "node", "n", "rest", F.coalesce("centre", "node").alias("centre"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "node").alias("component"))
-    placed = cut(placed)
+    shared = known.select("centre").distinct().withColumn("alone", F.lit(False))
+    placed = cut(placed.join(shared, "centre", "left").withColumn("alone", F.coalesce("alone", F.col("centre") == F.col("node"))))
     # lists of clusters; only those that meet another component matter
-    lists = placed.groupBy("s", "centre", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
+    lists = placed.groupBy("s", "centre", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"), F.min("alone").alias("alone"))
     mixed = lists.groupBy("s").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("s")
     lists = cut(lists.join(mixed, "s", "left_semi"))
     x, y = lists.alias("x"), lists.alias("y")
@@ -171,9 +185,11 @@ def links(classes: DataFrame, docs: DataFrame, last: np.ndarray) -> DataFrame:
         & (F.col("x.component") != F.col("y.component"))
         & (100 * F.col("x.most") >= PERCENT * F.col("y.least"))
         & (100 * F.col("y.most") >= PERCENT * F.col("x.least"))
-        & (9 * F.least("x.rest", "y.rest") >= 4 * (F.col("x.least") + F.col("y.least")))
     )
-    centres = x.join(y, (F.col("x.s") == F.col("y.s")) & may).select(F.col("x.centre").alias("a"), F.col("y.centre").alias("b")).distinct()
+    early = 9 * F.least("x.rest", "y.rest") >= 4 * (F.col("x.least") + F.col("y.least"))  # in some list, if the sets link
+    both = x.join(y, (F.col("x.s") == F.col("y.s")) & may)
+    counted = both.groupBy(F.col("x.centre").alias("a"), F.col("y.centre").alias("b")).agg(F.count("*").alias("c"), F.max("x.most").alias("n"), F.max("y.most").alias("m"), F.min(F.col("x.alone") & F.col("y.alone")).alias("alone"), F.max(early).alias("early"))
+    centres = counted.where(F.col("early") & (~F.col("alone") | enough("c", "n", "m"))).select("a", "b")
     told = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "o", "na", "nb")
     fresh = compare(centres.join(told, ["a", "b"], "left_anti"), docs)
     answers = cut(fresh.unionByName(centres.join(told, ["a", "b"]).select("a", "b", "o", "na", "nb")))
