@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,3 +31,11 @@ def batches(it: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.Recor
     for batch in it:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
+
+
+def trim() -> None:
+    """Gives memory that is free back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)

@@ -9,21 +9,24 @@ in one document only cannot be in a repeat. Every decision compares bytes; a cla
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.arrowtext import SLICE, slices
-from millrace.llm.common import cut, table
+from millrace.llm.arrowtext import slices, trim
+from millrace.llm.common import cut, lookup, table
 from millrace.llm.textsets import mix, powers
 
 WIDTH, TRIGGER = 50, 24
 SPAN = WIDTH - TRIGGER + 1  # strings of TRIGGER bytes in a window, and windows that one trigger can decide
 CONTEXT = WIDTH + SPAN - 1
 #: Bytes of text in a batch, and for each shard of the dictionary; documents from which on a trigger's windows are dealt out one by one.
-BATCH, PER_SHARD, HOT = 4 << 20, 2 << 20, 512
-BLOCK = 1 << 20
+BATCH, PER_SHARD, HOT = 2 << 20, 1 << 20, 512
+#: Bytes parsed at once, and bytes whose triggers a task gathers before it sends them.
+BLOCK, GATHER = 1 << 18, 8 << 20
 SPREAD = np.array([pow(0xD1342543DE82EF95, i + 1, 1 << 64) | 1 for i in range(WIDTH)], np.uint64)
 
 
@@ -84,35 +87,39 @@ def shared_triggers(docs: DataFrame, n_batches: int, bits: int) -> DataFrame:
     Each task sends, for each shard of hashes, every trigger once per batch of documents with a mark if several of its
     documents have it; so a trigger costs a shard no more than one entry for each task and batch."""
 
+    def packed(h: np.ndarray, of: np.ndarray) -> pa.Table:
+        """A row per shard: its distinct (trigger, batch), 40 bits of the hash and the batch with the mark."""
+        order = np.lexsort((of, h))
+        h, of = h[order], of[order]
+        start = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])]))
+        several = np.diff(np.append(start, len(h))) > 1
+        h, of = h[start], of[start]
+        shard = (h >> np.uint64(64 - bits)).astype(np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
+        rows = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            low = (h[a:b] >> np.uint64(24 - bits)) & np.uint64((1 << 40) - 1)
+            rows.append((int(shard[a]), planes(low)[: 5 * len(low)] + planes(of[a:b] << np.uint32(1) | several[a:b])))
+        return rows_of(rows, ["shard", "data"], [pa.int32(), pa.binary()])
+
     def send(it):
+        keys, batches, held = [], [], 0
         for batch in it:
             ids = batch["doc_id"].to_numpy()
-            keys, batches, several = [], [], []
-            for lo, hi, data, offsets in slices(batch["text"], SLICE):
+            for lo, _, data, offsets in slices(batch["text"], 4 * BLOCK):
                 first, _, h = parse(data, offsets)
                 doc = np.searchsorted(offsets, first, "right") - 1 + lo
                 order = np.lexsort((doc, h))
                 h, doc = h[order], doc[order]
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])[: len(h)]
                 keys.append(h[new])
-                batches.append(ids[doc[new]] % n_batches)
-            h, of = np.concatenate(keys), np.concatenate(batches).astype(np.uint32)
-            order = np.lexsort((of, h))
-            h, of = h[order], of[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])[: len(h)]
-            start = np.flatnonzero(new)
-            several = np.diff(np.append(start, len(h))) > 1
-            h, of = h[start], of[start]
-            shard = (h >> np.uint64(64 - bits)).astype(np.int64)
-            edges = np.searchsorted(shard, np.arange((1 << bits) + 1))
-            rows = []
-            for s in np.unique(shard).tolist():
-                here = slice(edges[s], edges[s + 1])
-                low = (h[here] >> np.uint64(24 - bits)) & np.uint64((1 << 40) - 1)
-                packed = planes(low)[: 5 * len(low)] + planes(of[here] << np.uint32(1) | several[here])
-                rows.append((s, packed))
-            if rows:
-                yield from rows_of(rows, ["shard", "data"], [pa.int32(), pa.binary()]).to_batches()
+                batches.append((ids[doc[new]] % n_batches).astype(np.uint32))
+                held += len(data)
+                if held > GATHER:
+                    yield from packed(np.concatenate(keys), np.concatenate(batches)).to_batches()
+                    keys, batches, held = [], [], 0
+        if keys and sum(map(len, keys)):
+            yield from packed(np.concatenate(keys), np.concatenate(batches)).to_batches()
 
     def meet(key, t):
         low, of, several = [], [], []
@@ -145,13 +152,19 @@ def shared_triggers(docs: DataFrame, n_batches: int, bits: int) -> DataFrame:
 class Batch:
     """The texts of one batch and the part of the dictionary they need.
 
-    rows: the distinct contexts, 0-padded, with their numbers of windows; least: the smallest document with each; shard:
+    copies: texts that a smaller document has as a whole, which need no parsing. rows: the distinct contexts, 0-padded, with their numbers of windows; least: the smallest document with each; shard:
     where each is compared. At: for each context in the texts, its row, document and first window."""
 
     def __init__(self, t: pa.Table, bits: int):
         kind = t["kind"].to_numpy()
         texts = t.filter(pa.array(kind == 0)).sort_by([("key", "ascending"), ("data", "ascending")])
-        self.ids, self.texts = texts["key"].to_numpy(), [np.frombuffer(x, np.uint8) for x in texts["data"].to_pylist()]
+        named = t.filter(pa.array(kind == 3))
+        copies = set(zip(named["key"].to_pylist(), named["data"].to_pylist(), strict=True))
+        maybe = {k for k, _ in copies}
+        ids, texts = texts["key"].to_numpy(), [np.frombuffer(x, np.uint8) for x in texts["data"].to_pylist()]
+        copied = np.array([i in maybe and (i, hashlib.md5(x).digest()) in copies for i, x in zip(ids.tolist(), texts, strict=True)], bool)
+        self.copies = [(i, x) for i, x, c in zip(ids.tolist(), texts, copied.tolist(), strict=True) if c]
+        self.ids, self.texts = ids[~copied], [x for x, c in zip(texts, copied.tolist(), strict=True) if not c]
         lens = np.array([len(x) for x in self.texts], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(lens)])
         data = np.concatenate(self.texts) if len(self.texts) else np.zeros(0, np.uint8)
@@ -175,15 +188,15 @@ class Batch:
         n_cold = int((~single).sum())
         number = np.concatenate([number[~single], np.ones(len(spread), np.int64)])
         rows = np.zeros((len(first), CONTEXT + 1), np.uint8)
-        for lo in range(0, len(first), 20_000):
-            where = first[lo : lo + 20_000, None] + np.arange(CONTEXT)
-            held = np.arange(CONTEXT) < number[lo : lo + 20_000, None] + WIDTH - 1
-            rows[lo : lo + 20_000, :CONTEXT] = np.where(held, data[np.minimum(where, len(data) - 1)], 0)
+        for lo in range(0, len(first), 8_000):
+            where = first[lo : lo + 8_000, None] + np.arange(CONTEXT)
+            held = np.arange(CONTEXT) < number[lo : lo + 8_000, None] + WIDTH - 1
+            rows[lo : lo + 8_000, :CONTEXT] = np.where(held, data[np.minimum(where, len(data) - 1)], 0)
         rows[:, CONTEXT] = number
         shard = np.zeros(len(first), np.int64)
         shard[:n_cold] = h[~single] >> np.uint64(64 - bits)
-        for lo in range(n_cold, len(first), 20_000):
-            shard[lo : lo + 20_000] = mix((rows[lo : lo + 20_000, :WIDTH].astype(np.uint64) * SPREAD).sum(1, dtype=np.uint64)) >> np.uint64(64 - bits)
+        for lo in range(n_cold, len(first), 8_000):
+            shard[lo : lo + 8_000] = mix((rows[lo : lo + 8_000, :WIDTH].astype(np.uint64) * SPREAD).sum(1, dtype=np.uint64)) >> np.uint64(64 - bits)
         kept, one, self.row = np.unique(rows.view(np.dtype((np.void, CONTEXT + 1))).ravel(), return_index=True, return_inverse=True)
         self.rows, self.shard = rows[one], shard[one]
         self.first, self.number = first, number
@@ -238,10 +251,19 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     shared = shared_triggers(known, n_batches, bits)
     texts = known.select(F.pmod("doc_id", F.lit(n_batches)).cast("int").alias("batch"), F.lit(0).alias("kind"), F.col("doc_id").alias("key"), F.encode("text", "UTF-8").alias("data"))
 
+    # of equal texts only the first is parsed; the others are told to their batches by name
+    digests = cut(known.select("doc_id", F.md5("text").alias("digest")))
+    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    copies = lookup(digests, cut(firsts), "digest").where("doc_id > first").select("doc_id", "digest").distinct()
+    named = cut(copies.select(F.pmod("doc_id", F.lit(n_batches)).cast("int").alias("batch"), F.lit(3).alias("kind"), F.col("doc_id").alias("key"), F.unhex("digest").alias("data")))
+    shared = shared.unionByName(named)
+
     def contexts(t: pa.Table) -> pa.Table:
         of = t["batch"][0].as_py()
         batch = Batch(t, bits)
         out = [(s, of, batch.rows[at].tobytes(), planes(batch.least[at])) for s, at in batch.in_shards()]
+        del batch
+        trim()
         return rows_of(out, ["shard", "batch", "rows", "least"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
     def judge(key, t):
@@ -250,6 +272,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
         least = [from_planes(x, np.int64) for x in t["least"].to_pylist()]
         masks = sort_suffixes(np.concatenate(parts), np.concatenate(least))
         ends = np.cumsum([len(p) for p in parts])
+        trim()
         out = [(b, 2, shard, masks[e - len(p) : e].tobytes()) for b, p, e in zip(t["batch"].to_pylist(), parts, ends, strict=True)]
         return rows_of(out, NAMES, KINDS)
 
@@ -274,10 +297,14 @@ def find_repeats(docs: DataFrame) -> DataFrame:
             np.add.at(cover, at + WIDTH, -1)
         gone = np.cumsum(cover)[:-1] > 0
         out = []
+        for doc_id, text in batch.copies:
+            out.append((doc_id, len(text), [{"start": 0, "end": len(text)}] if len(text) >= WIDTH else [], b"" if len(text) >= WIDTH else text.tobytes()))
         for i, (doc_id, text) in enumerate(zip(batch.ids.tolist(), batch.texts, strict=True)):
             here = gone[batch.offsets[i] : batch.offsets[i + 1]]
             turns = np.flatnonzero(np.diff(np.concatenate([[False], here, [False]]).astype(np.int8)))
             out.append((doc_id, len(text), [{"start": int(a), "end": int(b)} for a, b in zip(turns[::2], turns[1::2], strict=True)], text[~here].tobytes()))
+        del batch, cover, gone, mask
+        trim()
         return rows_of(out, ["doc_id", "n_bytes", "spans", "kept"], [pa.int64(), pa.int64(), span, pa.binary()])
 
     schema = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
