@@ -117,3 +117,19 @@ def S_restart(spark, sf_dir):
     for _ in range(2):
         core.to_files(events(spark, sf_dir).select("event_id"), at, state).awaitTermination()
     return spark.read.schema("event_id long").parquet(at)
+
+
+@R.query("select count(*) as n from events")
+def S_progress(spark, sf_dir):
+    """The rows that a query's own progress reports say it has read."""
+    stream = events(spark, sf_dir).select("event_id")
+    query = stream.writeStream.format("noop").option("checkpointLocation", core.checkpoint_folder(spark)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.createDataFrame([(sum(p.numInputRows for p in query.recentProgress),)], "n long")
+
+
+@R.query()
+def S_event_timeout(spark, sf_dir):
+    """Sessions of users that ended because nothing came for an hour of event time."""
+    timed = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    return core.to_memory(stateful.sessions_by_event_time(timed, "key", "ts", 3_600_000, "10 minutes")).select("key", "first", "last", "n")
