@@ -49,17 +49,17 @@ def rollup_usage(spark, sf_dir):
     return table(spark, sf_dir, "events").rollup("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@R.query("select year(o_orderdate)::integer as year, " + ", ".join(f"round(avg(o_totalprice) filter (where o_orderpriority = '{p}'), 4) as \"{p}_mean\"" for p in PRIORITIES) + " from orders group by 1")
+@R.query("select year(o_orderdate)::integer as year, " + ", ".join(f"round(avg(o_totalprice) filter (where o_orderpriority = '{p}'), 2) as \"{p}_mean\"" for p in PRIORITIES) + " from orders group by 1")
 def pivot_rename(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
-    wide = A.pivot(o, ["year"], "o_orderpriority", PRIORITIES, [F.round(F.avg("o_totalprice"), 4)])
+    wide = A.pivot(o, ["year"], "o_orderpriority", PRIORITIES, [F.round(F.avg("o_totalprice"), 2)])
     return A.rename_columns(wide, {"year"}, "_mean")
 
 
-@R.query("select year(o_orderdate)::integer as year, " + ", ".join(f"round(avg(o_totalprice) filter (where o_orderstatus = '{s}'), 4) as {s}_cost, min(o_orderpriority) filter (where o_orderstatus = '{s}') as {s}_ship" for s in "FOP") + " from orders group by 1")
+@R.query("select year(o_orderdate)::integer as year, " + ", ".join(f"round(avg(o_totalprice) filter (where o_orderstatus = '{s}'), 2) as {s}_cost, min(o_orderpriority) filter (where o_orderstatus = '{s}') as {s}_ship" for s in "FOP") + " from orders group by 1")
 def pivot_multi(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
-    return A.pivot(o, ["year"], "o_orderstatus", list("FOP"), [F.round(F.avg("o_totalprice"), 4).alias("cost"), F.min("o_orderpriority").alias("ship")])
+    return A.pivot(o, ["year"], "o_orderstatus", list("FOP"), [F.round(F.avg("o_totalprice"), 2).alias("cost"), F.min("o_orderpriority").alias("ship")])
 
 
 @R.query("select event_id, user_id::varchar as user, event_type as type, case when event_id % 2 = 0 then 'yes' end as even from events")

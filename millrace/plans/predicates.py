@@ -220,8 +220,8 @@ def hof_misc(spark, sf_dir):
     return e.select("vec_id", place.cast("int").alias("place"), F.round(F.element_at(F.reverse("embedding"), 1).cast("double"), 6).alias("last"), left.alias("left_over"))
 
 
-TOP = """with u as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, unnest([{'v': l_quantity, 'k': 'l_quantity'}, {'v': l_discount * 100, 'k': 'discount'}, {'v': l_tax * 100, 'k': 'tax'}]) as e from lineitem),
- r as (select *, row_number() over (partition by l_orderkey, l_partkey, l_suppkey, l_linenumber order by e.v desc, e.k) as rn from u)"""
+TOP = """with i as (select *, row_number() over () as rid from lineitem), u as (select rid, l_orderkey, l_partkey, l_suppkey, l_linenumber, unnest([{'v': l_quantity, 'k': 'l_quantity'}, {'v': l_discount * 100, 'k': 'discount'}, {'v': l_tax * 100, 'k': 'tax'}]) as e from i),
+ r as (select *, row_number() over (partition by rid order by e.v desc, e.k) as rn from u)"""
 
 
 def top_measures(spark, sf_dir, n):
@@ -235,7 +235,7 @@ def row_topn(spark, sf_dir):
     return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (F.col("rank") + 1).alias("rank"), F.col("e.name").alias("name"), F.round("e.value", 6).alias("value"))
 
 
-@R.query(TOP + """ select l_orderkey, l_partkey, l_suppkey, l_linenumber, max(case when rn = 1 then e.k end) as first_name, max(case when rn = 2 then e.k end) as second_name from r group by all""")
+@R.query(TOP + """ select l_orderkey, l_partkey, l_suppkey, l_linenumber, max(case when rn = 1 then e.k end) as first_name, max(case when rn = 2 then e.k end) as second_name from r group by rid, l_orderkey, l_partkey, l_suppkey, l_linenumber""")
 def row_topn_pivot(spark, sf_dir):
     rows = top_measures(spark, sf_dir, 2)
     return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("top")[0]["name"].alias("first_name"), F.col("top")[1]["name"].alias("second_name"))
