@@ -156,6 +156,14 @@ def enough(c: str, n: str, m: str) -> Column:
     return 9 * (F.col(c) + rest) >= 4 * (F.col(n) + F.col(m))
 
 
+def parted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) whose nodes are in different components by roots (node, component)."""
+    out = pairs
+    for of in ("a", "b"):
+        out = lookup(out, roots.withColumnsRenamed({"node": of, "component": f"_{of}"}), of, "left")
+    return out.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select(*pairs.columns)
+
+
 def links(classes: DataFrame, docs: DataFrame, last: np.ndarray) -> DataFrame:
     """(a, b) links that connect exactly what the links of all pairs of classes (node, n, prefix) connect."""
     entries = shared_entries(classes, last)
@@ -197,6 +205,8 @@ def links(classes: DataFrame, docs: DataFrame, last: np.ndarray) -> DataFrame:
     # members at d1 and d2 from centres that are gap apart can only link if gap - d1 - d2 <= 1 - PERCENT / 100, for d1, d2 <= 1 - PERCENT / 100
     near = answers.withColumn("gap", 1 - F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).where(F.col("gap") <= 3 * (1 - PERCENT / 100) + 1e-9).select("a", "b", "gap")
     joined = components(edges)
+    # a member is linked to its centre and so in its component: centres that are connected by now have nothing left to find
+    near = cut(parted(near, joined))
     comp = F.coalesce("component", "node")
     now = placed.drop("component").join(joined, "node", "left").withColumn("component", comp)
     touched = cut(near.select(F.explode(F.array("a", "b")).alias("centre")).distinct())
