@@ -20,9 +20,9 @@ from millrace.llm.common import components, cut, lookup, salted, table
 from millrace.llm.textsets import shingles, words
 
 K, PERCENT = 5, 80
-#: Shingles that a sample of about SAMPLE documents shows at least SEEN times come last in the order, at most FREQUENT of them.
-#: The order decides how much is compared, never what is found.
-SAMPLE, SEEN, FREQUENT = 8192, 4, 65_536
+#: Shingles that a sample of one document in EVERY shows at least SEEN times come last in the order, at most FREQUENT of them.
+#: One fraction for all sizes, so that lists do not grow with the table. The order decides how much is compared, never what is found.
+EVERY, SEEN, FREQUENT = 6, 4, 1 << 19
 #: Up to so many ids of sets to compare are sent to all executors; more are joined by a shuffle.
 SENT = 300_000
 
@@ -37,7 +37,6 @@ def sets_of(batch: pa.RecordBatch, column: str = "text"):
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """The shingles that are frequent in a sample, rarest first, as signed hashes."""
-    every = max(1, docs.count() // SAMPLE)
 
     def run(it):
         for batch in batches(it, 500):
@@ -45,7 +44,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["s"])
 
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(run, "s long")
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(EVERY)) == 0).select("text").mapInArrow(run, "s long")
     top = drawn.groupBy("s").count().where(F.col("count") >= SEEN).orderBy(F.desc("count"), "s").limit(FREQUENT)
     return top.toArrow()["s"].to_numpy()[::-1].copy()
 
