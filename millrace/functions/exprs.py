@@ -52,7 +52,8 @@ def escape_unicode(column: str | Column) -> Column:
     def one(c: Column) -> Column:
         return F.when(F.ascii(c) > 127, F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(c))), 4, "0"))).otherwise(c)
 
-    return F.array_join(F.transform(F.split(column, ""), one), "")
+    # runs of ASCII stay whole; only the characters between them are taken one by one
+    return F.array_join(F.transform(F.split(column, r"(?<=[^\x00-\x7F])|(?=[^\x00-\x7F])"), one), "")
 
 
 def iso_format(column: str | Column) -> Column:
