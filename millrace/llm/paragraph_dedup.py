@@ -1,9 +1,9 @@
-"""Passages that repeat across documents, by MinHash banding of paragraphs.
+"""Passages that repeat across documents, by MinHash banding of paragraphs and by windows of words.
 
-Paragraphs are taken at two scales. Lines of LONG words or more are compared as sets of five-word shingles: bands tuned for
-recall give candidates, exact Jaccard decides, components cluster. So that a passage is also met in the middle of lines, lines
-are cut further at content-defined words, which are the same wherever the passage stands; such pieces count as repeated if
-they are equal, and are removed where they form a run of RUN words. The document with the smallest doc_id keeps each."""
+Lines of LONG words or more are compared as sets of five-word shingles: bands tuned for recall give candidates, exact Jaccard
+decides, components cluster. So that a passage is also met in the middle of lines, every run of RUN words that an earlier
+document has too is removed, wherever it stands: each such window has the same least gram of GRAM words in both documents,
+so that only windows whose least gram is shared need to be compared. The document with the smallest doc_id keeps each."""
 
 from __future__ import annotations
 
@@ -19,8 +19,8 @@ from millrace.llm.common import components, cut, lookup, salted, shared_path, ta
 from millrace.llm.textsets import STEPS, mix, powers, shingles, words
 
 K, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.999, 32
-#: Words of a line that is compared as a whole; words to either side that a cut must be least among; words of a run of equal pieces.
-LONG, REACH, RUN = 20, 6, 24
+#: Words of a line that is compared as a whole; words of a gram that can stand for a window; words of a window.
+LONG, GRAM, RUN = 5, 8, 24
 #: Up to so many ids of lines to verify are sent to all executors; more are joined by a shuffle.
 SENT = 300_000
 
@@ -39,22 +39,23 @@ BANDS, ROWS = tune()
 FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def cuts(h: np.ndarray) -> np.ndarray:
-    """Where pieces begin: at words whose hash, with the next word's, is the least among REACH words to either side."""
-    n = len(h)
-    if n < 2:
-        return np.zeros(n, bool)
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    v = np.full(n + 2 * REACH, top, np.uint64)
-    v[REACH : REACH + n - 1] = mix(h[:-1] * STEPS[0] + h[1:] * STEPS[1])
-    out = v[REACH : REACH + n] < top
-    for d in range(1, REACH + 1):
-        out &= (v[REACH : REACH + n] < v[REACH - d : REACH - d + n]) & (v[REACH : REACH + n] <= v[REACH + d : REACH + d + n])
-    return out
+def windows(hw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each run of RUN words of one text, and that of the least gram in it."""
+    n = len(hw)
+    if n < RUN:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    up, down = powers(n + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hw * up[:n], dtype=np.uint64)])
+    runs = lambda k: mix((sums[k:] - sums[:-k]) * down[: n - k + 1] + np.uint64(k) * STEPS[2])
+    least, width = runs(GRAM), 1
+    while width < RUN - GRAM + 1:
+        step = min(width, RUN - GRAM + 1 - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    return runs(RUN), least
 
 
 class Paragraphs:
-    """Units of the texts of a batch, one text at a time: words as (start, end), lines and pieces as first words and hashes."""
+    """Units of the texts of a batch, one text at a time: words as (start, end), lines as first words and hashes."""
 
     def __init__(self, batch: pa.RecordBatch, column: str = "text"):
         self.batch, self.column = batch, column
@@ -77,27 +78,17 @@ class Paragraphs:
                     return at, stop, mix((sums[stop] - sums[at]) * down[at] + (stop - at).astype(np.uint64) * STEPS[2])
 
                 base = offsets[row - lo]
-                yield row, hw, start[a:b] - base, end[a:b] - base, units(new), units(new | cuts(hw))
+                yield row, hw, start[a:b] - base, end[a:b] - base, units(new)
 
 
-def rows_of_units(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h) of all pieces and (doc_id, h, bands) of all long lines, each kind as a scan of its own."""
-
-    def pieces(it):
-        for batch in batches(it, 1000):
-            ids = batch["doc_id"].to_numpy()
-            doc, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            for row, _, _, _, _, (_, _, h) in Paragraphs(batch):
-                h = np.unique(h)
-                hashes.append(h)
-                doc.append(np.full(len(h), ids[row]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(doc)), pa.array(np.concatenate(hashes).view(np.int64))], names=["doc_id", "h"])
+def rows_of_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, bands) of all lines of LONG words or more."""
 
     def lines(it):
         for batch in batches(it, 1000):
             ids = batch["doc_id"].to_pylist()
             doc, hashes, bands = [], [], []
-            for row, hw, _, _, (at, stop, h), _ in Paragraphs(batch):
+            for row, hw, _, _, (at, stop, h) in Paragraphs(batch):
                 for a, b, x in zip(at, stop, h.view(np.int64).tolist(), strict=True):
                     if b - a >= LONG:
                         least = mix(shingles(hw[a:b], K)[:, None] * FACTORS).min(0).reshape(BANDS, ROWS)
@@ -109,7 +100,41 @@ def rows_of_units(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(flat))
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(hashes, pa.int64()), listed], names=["doc_id", "h", "bands"])
 
-    return docs.mapInArrow(pieces, "doc_id long, h long"), docs.mapInArrow(lines, "doc_id long, h long, bands array<long>")
+    return docs.mapInArrow(lines, "doc_id long, h long, bands array<long>")
+
+
+def hashes(docs: DataFrame, grams: bool) -> DataFrame:
+    """(doc_id, h): least grams of all windows of each row, or the windows whose least gram is among the row's shared ones."""
+
+    def run(it):
+        for batch in batches(it, 1000):
+            ids, shared = batch["doc_id"].to_numpy(), None if grams else batch["shared"]
+            doc, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for row, hw, _, _, _ in Paragraphs(batch):
+                h, least = windows(hw)
+                h = np.unique(least) if grams else np.unique(h[np.isin(least.view(np.int64), shared[row].values.to_numpy())])
+                found.append(h)
+                doc.append(np.full(len(h), ids[row]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(doc)), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "h"])
+
+    return docs.mapInArrow(run, "doc_id long, h long")
+
+
+def shared(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (doc_id, h), kept in the shared folder, and (h, first) of each h that several documents have."""
+    spark = rows.sparkSession
+    at = shared_path(spark, "windows")
+    rows.write.option("compression", "zstd").parquet(at)
+    rows = spark.read.schema("doc_id long, h long").parquet(at)
+    firsts = rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
+    return rows, cut(firsts)
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """(doc_id, h): the windows of each document that a document of smaller doc_id has too."""
+    of = lookup(*shared(hashes(docs, True)), "h").groupBy("doc_id").agg(F.collect_set("h").alias("shared"))  # a document's own
+    rows, firsts = shared(hashes(docs.join(of, "doc_id"), False))
+    return lookup(rows, firsts, "h").where("doc_id > first").select("doc_id", "h").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -119,7 +144,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def sets(it):
         for batch in batches(it, 1000):
             hashes, found = [], []
-            for _, hw, _, _, (at, stop, h), _ in Paragraphs(batch):
+            for _, hw, _, _, (at, stop, h) in Paragraphs(batch):
                 for a, b, x in zip(at, stop, h.view(np.int64).tolist(), strict=True):
                     if b - a >= LONG:
                         hashes.append(x)
@@ -169,30 +194,24 @@ def line_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
-    """(doc_id, pieces, lines): hashes of each document's units that a document of smaller doc_id has too, or nearly for lines."""
-    pieces, lines = rows_of_units(docs)
-    spark = docs.sparkSession
-    at = shared_path(spark, "pieces")
-    pieces.write.option("compression", "zstd").parquet(at)
-    pieces = spark.read.schema("doc_id long, h long").parquet(at)
-    firsts = pieces.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
-    again = lookup(pieces, cut(firsts), "h").where("doc_id > first").select("doc_id", "h")
+    """(doc_id, windows, lines): hashes of each document's units that a document of smaller doc_id has too, or nearly for lines."""
+    again = repeated_windows(docs)
+    lines = cut(rows_of_lines(docs))
     classes = cut(lines.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("bands").alias("bands")))
     roots = components(line_links(classes.select("h", "bands"), docs)).withColumnRenamed("node", "h")
     of = classes.select("h", "first", "last").join(roots, "h", "left").withColumn("component", F.coalesce("component", "h"))
     of = cut(of)
     spans = of.groupBy("component").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first < last").select("component", "first")
     known = lookup(of.select("h", "component"), spans, "component").select("h", "first")
-    line_rows = cut(lines.select("doc_id", "h").distinct())
-    near = lookup(line_rows, cut(known), "h").where("doc_id > first").select("doc_id", "h")
+    near = lookup(lines.select("doc_id", "h").distinct(), cut(known), "h").where("doc_id > first").select("doc_id", "h")
     both = again.select("doc_id", F.col("h").alias("p"), F.lit(None).cast("long").alias("l")).unionByName(near.select("doc_id", F.lit(None).cast("long").alias("p"), F.col("h").alias("l")))
-    return both.groupBy("doc_id").agg(F.collect_list("p").alias("pieces"), F.collect_list("l").alias("lines"))  # a document's own units
+    return both.groupBy("doc_id").agg(F.collect_list("p").alias("windows"), F.collect_list("l").alias("lines"))  # a document's own units
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_words, n_removed (words), spans (bytes removed) and text without them.
 
-    A null text has no words and stays null; short lines and pieces go only as part of a longer run; a null doc_id keeps
+    A null text has no words and stays null; lines of fewer than LONG words go only as part of a longer run; a null doc_id keeps
     all and is not compared with; rows that share a doc_id are one document; texts are taken whole, however long; an empty
     table gives no rows; other columns are not read."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -202,23 +221,19 @@ def remove_passages(docs: DataFrame) -> DataFrame:
 
     def run(it):
         for batch in batches(it, 1000):
-            found_pieces, found_lines, texts = batch["pieces"].to_pylist(), batch["lines"].to_pylist(), batch["text"].to_pylist()
+            found_windows, found_lines, texts = batch["windows"], batch["lines"].to_pylist(), batch["text"].to_pylist()
             n_words, n_removed, spans, kept = [], [], [], []
-            for row, hw, start, end, (la, lb, lh), (pa_, pb, ph) in Paragraphs(batch):
+            for row, hw, start, end, (la, lb, lh) in Paragraphs(batch):
                 n, text = len(hw), texts[row]
                 gone = np.zeros(n, bool)
                 for a, b in zip(la[np.isin(lh.view(np.int64), found_lines[row] or [])], lb[np.isin(lh.view(np.int64), found_lines[row] or [])], strict=True):
                     if b - a >= LONG:
                         gone[a:b] = True
-                if found_pieces[row]:
-                    again = np.zeros(n, bool)
-                    hit = np.isin(ph.view(np.int64), found_pieces[row])
-                    for a, b in zip(pa_[hit], pb[hit], strict=True):
-                        again[a:b] = True
-                    turns = np.flatnonzero(np.diff(np.concatenate([[False], again, [False]]).astype(np.int8)))
-                    for a, b in zip(turns[::2], turns[1::2], strict=True):
-                        if b - a >= RUN:
-                            gone[a:b] = True
+                if found_windows[row].is_valid and n >= RUN:
+                    hit = np.isin(windows(hw)[0].view(np.int64), found_windows[row].values.to_numpy())
+                    begun = np.concatenate([[0], np.cumsum(hit)])
+                    i = np.arange(n)  # a word goes if one of the RUN windows that hold it is repeated
+                    gone |= begun[np.minimum(i, n - RUN) + 1] > begun[np.maximum(i - RUN + 1, 0)]
                 turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                 runs = [(int(start[a]), int(start[b]) if b < n else int(end[b - 1])) for a, b in zip(turns[::2], turns[1::2], strict=True)]
                 if runs:
