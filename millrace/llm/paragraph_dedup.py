@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.arrowtext import batches, slices
@@ -137,9 +137,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return lookup(rows, firsts, "h").where("doc_id > first").select("doc_id", "h").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of lines, by hash, whose shingles have a Jaccard similarity of THRESHOLD or more, from their texts."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
+def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(h, set): the shingles of the lines with the hashes ids, from the texts, which are read once."""
 
     def sets(it):
         for batch in batches(it, 1000):
@@ -153,7 +152,11 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     few = ids.count() <= SENT
     needed = docs.mapInArrow(sets, "h long, set binary").join(F.broadcast(ids) if few else ids, "h")
-    needed = cut(needed.groupBy("h").agg(F.first("set").alias("set")))  # equal lines have equal sets
+    return cut(needed.groupBy("h").agg(F.first("set").alias("set")))  # equal lines have equal sets
+
+
+def verified(pairs: DataFrame, needed: DataFrame) -> DataFrame:
+    """The pairs (a, b) of lines, by hash, whose shingles, in needed, have a Jaccard similarity of THRESHOLD or more."""
     spread, copies, on = salted(pairs, needed.select(F.col("h").alias("a"), F.col("set").alias("set_a")), "a")
     both = spread.join(needed.select(F.col("h").alias("b"), F.col("set").alias("set_b")), "b").join(copies, on)
 
@@ -170,27 +173,35 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def line_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) links between lines (h, bands) that meet in a bucket.
+    """(a, b) links between lines (h, bands) that meet in a bucket, enough to connect all that are near.
 
-    In each round every line of a bucket is compared with the bucket's smallest; those that link are done there, the others
-    go on with the next smallest, until no bucket has two lines left. No bucket is emitted in pairs or cut short."""
+    In each round a few lines of every bucket, twice as many as before, are compared with all of the bucket that are not
+    connected to them yet, and leave it; a bucket is done once its lines are connected. So of any two lines of a bucket, the
+    one that leaves first was compared with the other or connected to it. No bucket is emitted in pairs or cut short."""
     spark = docs.sparkSession
     keyed = classes.select("h", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least < most").select("key")
-    left = cut(keyed.join(shared, "key", "left_semi"))
-    edges = spark.createDataFrame([], "a long, b long")
-    while True:
-        pivots = left.groupBy("key").agg(F.min("h").alias("pivot"))
-        met = cut(lookup(left, pivots, "key").where("h != pivot"))
-        pairs = cut(met.select(F.col("pivot").alias("a"), F.col("h").alias("b")).distinct())
-        if pairs.isEmpty():
-            return edges
-        good = verified(pairs, docs)
-        edges = edges.unionByName(good)
-        rest = met.join(good.select(F.col("a").alias("pivot"), F.col("b").alias("h")), ["pivot", "h"], "left_anti").select("h", "key")
-        rest = cut(rest)
-        several = rest.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least < most").select("key")
-        left = cut(rest.join(several, "key", "left_semi"))
+    left = cut(lookup(keyed, cut(shared), "key").withColumn("component", F.col("h")))
+    needed = sets_of(cut(left.select("h").distinct()), docs)
+    edges, many = spark.createDataFrame([], "a long, b long"), 1
+    while not left.isEmpty():
+        sizes = left.select("h", "component").distinct().groupBy("component").agg(F.count("*").alias("size"))
+        # lines of small components first: those of a bucket's largest need not all be compared
+        order = Window.partitionBy("key").orderBy("size", "h")
+        first = lookup(left, sizes, "component").withColumn("place", F.row_number().over(order)).where(F.col("place") <= many)
+        first = cut(first.select("key", "h", "component", "place"))
+        pivots = first.groupBy("key").agg(F.collect_list(F.struct(F.col("h").alias("a"), F.col("component").alias("other"), "place")).alias("pivots"))  # `many` at most
+        met = lookup(left, pivots, "key").select("h", "component", F.explode("pivots").alias("p")).where("component != p.other")
+        pairs = cut(met.select(F.greatest("h", "p.a").alias("a"), F.least("h", "p.a").alias("b")).distinct())
+        good = verified(pairs, needed)
+        edges = cut(edges.unionByName(good))
+        left = left.join(first.select("key", "h"), ["key", "h"], "left_anti").select("h", "key")
+        left = left.join(components(edges).withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+        left = cut(left)
+        several = left.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+        left = cut(lookup(left, cut(several), "key"))
+        many *= 2
+    return edges
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:

@@ -49,3 +49,14 @@ def test_near_copies_of_short_lines(spark):
     rows = [(1, "one two three four five\na b c d\n" + " ".join(line)), (2, "x\none two three four five\na b c d\n" + " ".join([*line[:14], "y"]))]
     got = {r["doc_id"]: r["text"] for r in paragraph_dedup.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: rows[0][1], 2: "x\na b c d\n"}
+
+
+def test_followers_link_to_other_lines(spark):
+    """Of p ~ x and x ~ c, where p is not near c, the link x ~ c is found too, whichever line comes first in the bucket."""
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words[k : k + 80]) for k in (0, 8, 16)]  # Jaccard 68/84 for neighbours, 60/92 for the outer two
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = {r["doc_id"]: r["h"] for r in paragraph_dedup.rows_of_lines(docs).collect()}
+    same = spark.createDataFrame([(h, [7]) for h in lines.values()], "h long, bands array<long>")
+    links = {frozenset((r["a"], r["b"])) for r in paragraph_dedup.line_links(same, docs).collect()}
+    assert links == {frozenset((lines[0], lines[1])), frozenset((lines[1], lines[2]))}
