@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch on its way to Python; the session's setting, if that is lower.
+BATCH_BYTES = 4 << 20
 #: What separates words: ASCII space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,11 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where that is unset, one of our own in
+    local mode, where all share a machine; on a cluster an error.
+
+    Also lowers the session's limit on bytes of an Arrow batch to BATCH_BYTES, as executors hold several at once."""
     sc = spark.sparkContext
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(limit).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(limit, str(BATCH_BYTES))
+    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if known is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        known = tempfile.mkdtemp(prefix="millrace-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        sc.setCheckpointDir(known)
+    return known
 
 
 def shared_path(spark: SparkSession, label: str) -> str:

@@ -55,7 +55,6 @@ class Coder:
 
     def clear(self) -> None:
         self.index = Index()
-        self.words: dict[str, list[int]] = {}
         self.ends: dict[str, list[int]] = {"": []}
         self.lens, self.starts, self.ids = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
         self.n = self.end = 0
@@ -77,13 +76,14 @@ class Coder:
             word = WORD.fullmatch(piece) if self.direct else None
             ids = None
             if word:
-                ids = self.words.get(word[1])
-                if ids is None:
-                    ids = self.words[word[1]] = self.of_word(word[1])
                 if word[2]:
+                    known = self.index.get(word[1], self.n)
+                    ids = self.ids[self.starts[known] : self.starts[known] + self.lens[known]].tolist() if known < self.n else self.of_word(word[1])
                     if word[2] not in self.ends:
                         self.ends[word[2]] = self.encode([word[2]])[0]
-                    ids = ids + self.ends[word[2]]
+                    ids += self.ends[word[2]]
+                else:
+                    ids = self.of_word(word[1])
             else:
                 body = piece[1:] if piece[:1] == " " else piece
                 head = piece[:1] == " "
