@@ -12,7 +12,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.arrowtext import batches, slices
@@ -22,7 +22,7 @@ from millrace.llm.textsets import shingles, words
 K, PERCENT = 5, 80
 #: Shingles that a sample of one document in EVERY shows at least SEEN times come last in the order, at most FREQUENT of them.
 #: One fraction for all sizes, so that lists do not grow with the table. The order decides how much is compared, never what is found.
-EVERY, SEEN, FREQUENT = 6, 4, 1 << 19
+EVERY, SEEN, FREQUENT = 16, 2, 1 << 19
 #: Up to so many ids of sets to compare are sent to all executors; more are joined by a shuffle.
 SENT = 300_000
 
@@ -209,8 +209,16 @@ def links(classes: DataFrame, docs: DataFrame, last: np.ndarray) -> DataFrame:
     comp = F.coalesce("component", "node")
     now = placed.drop("component").join(joined, "node", "left").withColumn("component", comp)
     touched = cut(near.select(F.explode(F.array("a", "b")).alias("centre")).distinct())
-    now = cut(now.join(touched, "centre", "left_semi"))
-    left = now.join(near.withColumnRenamed("a", "centre"), "centre")
+    now = now.join(touched, "centre", "left_semi")
+    # two sets whose last shared shingles before this one are the same have met in that one's list: this block of places is skipped
+    now = cut(now.withColumn("before", F.lag("s").over(Window.partitionBy("node").orderBy(F.desc("rest")))))
+    # of two near clusters the one with fewer entries goes to the other's lists
+    entries_of = cut(now.groupBy("centre").agg(F.count("*").alias("n")))
+    for of in ("a", "b"):
+        near = lookup(near, entries_of.withColumnsRenamed({"centre": of, "n": f"n_{of}"}), of)
+    turned = F.col("n_a") > F.col("n_b")
+    near = near.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("centre"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), "gap")
+    left = now.join(cut(near), "centre")
     u, v = left.alias("u"), now.alias("v")
     on = (
         (F.col("u.s") == F.col("v.s"))
@@ -218,6 +226,7 @@ def links(classes: DataFrame, docs: DataFrame, last: np.ndarray) -> DataFrame:
         & (F.col("u.component") != F.col("v.component"))
         & (F.col("u.gap") - F.col("u.d") - F.col("v.d") <= 1 - PERCENT / 100 + 1e-9)
         & (9 * F.least("u.rest", "v.rest") >= 4 * (F.col("u.n") + F.col("v.n")))
+        & ~F.coalesce(F.col("u.before") == F.col("v.before"), F.lit(False))
     )
     members = u.join(v, on).select(F.least("u.node", "v.node").alias("a"), F.greatest("u.node", "v.node").alias("b")).distinct()
     return edges.unionByName(compare(members.join(answers.select("a", "b"), ["a", "b"], "left_anti"), docs).where(LINKED).select("a", "b"))
@@ -233,8 +242,9 @@ def join_documents(docs: DataFrame) -> DataFrame:
     last = frequent_shingles(rows)
     marked = cut(signatures(rows, last))
     full = marked.where("fp is not null and doc_id is not null")
-    classes = cut(full.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    nodes = cut(full.join(classes, "fp").where("doc_id = node").select("node", "n", "prefix").dropDuplicates(["node", "n", "prefix"]))
+    # the one shuffle that the prefixes make: to a row for each set
+    nodes = cut(full.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("m")).select("fp", F.col("m.doc_id").alias("node"), F.col("m.n").alias("n"), F.col("m.prefix").alias("prefix")))
+    classes = nodes.select("fp", "node")
     roots = components(links(nodes, rows, last))
     by_class = classes.join(roots, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component"))
     found = lookup(full.select("fp", "doc_id", "n"), by_class, "fp").select("doc_id", "n", "node", "component")
