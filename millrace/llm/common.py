@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch on its way to Python; the session's setting, if that is lower.
 BATCH_BYTES = 4 << 20
+#: Seconds between two collections of the driver's garbage, and with it of shuffle files.
+COLLECT_S = 8
 #: What separates words: ASCII space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,15 +48,21 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_collected = [0.0]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, with its lineage cut; survives the loss of any executor.
 
-    What no plan needs any more is let go of: Spark deletes shuffle files once the driver has collected their plans."""
+    Spark deletes shuffle files and checkpoints that no plan needs any more once the driver has collected their plans; this
+    is asked for now and then, so that a long chain of steps does not keep all that it has written."""
     shared_dir(df.sparkSession)
     out = df.checkpoint()
-    del df
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
+    if time.monotonic() - _collected[0] > COLLECT_S:
+        del df
+        gc.collect()
+        out.sparkSession.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
     return out
 
 
@@ -80,14 +92,18 @@ def running_totals(df: DataFrame, order: list, values: list[str], parts: int | N
     )
 
 
-def salted(left: DataFrame, right: DataFrame, key: str, share: int = 2000, salts: int = 64) -> tuple[DataFrame, DataFrame, list[str]]:
+def salted(left: DataFrame, right: DataFrame, key: str, share: int = 2000, salts: int = 64, sized: bool = False, of: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
     """left and right, which has one row per key, and the columns to join them on, where a key may hold any part of left's rows.
 
-    Keys with more than 1/share of left's rows, of which there are at most `share`, are found by an aggregation and
-    spread: their rows in left get a salt, their single rows in right a copy for each salt. left is read twice more."""
-    least = max(1000, left.count() // share)
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    heavy = [r[0] for r in counts.where(F.col("_n") > least).select(key).collect()]  # at most `share` keys
+    The most frequent keys, `share` at most, are found by an aggregation and
+    spread: their rows in left get a salt, their single rows in right a copy for each salt. If right is sized, it has the
+    number of left's rows of each key as _n, and nothing is counted; else `of`, or left, is read once more for that. Of keys
+    with more than 1000 rows the `share` most frequent are taken; any other has fewer than 1/share of the rows."""
+    if sized:
+        counts, right = right.select(key, "_n"), right.drop("_n")
+    else:
+        counts = (left if of is None else of).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    heavy = [r[0] for r in counts.where(F.col("_n") > 1000).orderBy(F.desc("_n")).limit(share).select(key).collect()]
     if not heavy:
         return left, right, [key]
     among = F.col(key).isin(heavy) if len(heavy) < 50 else F.array_contains(F.array(*[F.lit(x) for x in heavy]), F.col(key))
@@ -96,31 +112,55 @@ def salted(left: DataFrame, right: DataFrame, key: str, share: int = 2000, salts
     return spread, copies, [key, "_salt"]
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner", sized: bool = False, of: DataFrame | None = None) -> DataFrame:
     """left joined with right, which has one row per key, where a key may hold any part of left's rows; see salted."""
-    spread, copies, on = salted(left, right, key)
+    spread, copies, on = salted(left, right, key, sized=sized, of=of)
     return spread.join(copies, on, how).drop("_salt")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def contract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links (a, b) of one partition as a forest: each node beside the smallest that it reaches there."""
+    found = list(it)
+    if sum(b.num_rows for b in found):
+        ends = [np.concatenate([b[c].to_numpy() for b in found]) for c in ("a", "b")]
+        nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+        a, b = np.split(at, 2)
+        label = np.arange(len(nodes))
+        while True:
+            least = np.minimum(label[a], label[b])
+            new = label.copy()
+            for x in (a, b):
+                np.minimum.at(new, label[x], least)
+                np.minimum.at(new, x, least)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        low = np.flatnonzero(label != np.arange(len(nodes)))
+        for i in range(0, len(low), 100_000):
+            part = low[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[label[part]])], names=["a", "b"])
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the undirected edges (a, b): component is the smallest node reachable.
 
-    Alternating large-star and small-star steps; each is an aggregation by node and a salted lookup, so that neither a
-    node with very many links nor a large component meets in one task. Nothing but counts comes to the driver."""
-    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    seen = None
-    for _ in range(rounds):
+    Each partition's links are first reduced to a forest; then large-star and small-star steps alternate until nothing
+    changes. Each is an aggregation by node and a salted lookup, so that neither a node with very many links nor a large
+    component meets in one task. Nothing but counts comes to the driver."""
+    e = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a != b").distinct()
+    e = cut(e.mapInArrow(contract, "a long, b long").distinct())
+    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    seen, now = None, state(e)
+    while now != seen and now[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = lookup(both, low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")).withColumn("m", F.least("a", "m"))
+        large = lookup(both, low, "a", sized=True).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         large = cut(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = lookup(large, low, "a")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))
+        joined = lookup(large, low, "a", sized=True)
         small = joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         e = cut(small.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
+        seen, now = now, state(e)
     roots = e.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
