@@ -1,10 +1,8 @@
 """Queries that once took a part of their input, on small tables against brute force."""
 
 import datetime as dt
-import random
 from collections import Counter
 
-from millrace.llm import paragraph_dedup
 from millrace.plans import catalog
 
 
@@ -26,37 +24,3 @@ def test_events_reach_all_pages(spark, tmp_path):
     got = [(r["day"], r["url"], r["n"]) for r in catalog.QUERIES["top_urls_daily"](spark, str(tmp_path)).collect()]
     assert got == sorted(((*k, n) for k, n in want.items()), key=lambda r: (-r[2], r[0], r[1]))
     assert len({u for _, u, _ in got}) == len({u for _, u in want}) > 50
-
-
-def test_passages_inside_lines_go_whole(spark):
-    """A shared run of 24 to 60 words goes up to both ends, wherever it stands; one of 23 words stays."""
-    rng = random.Random(3)
-    prose = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
-    rows, want = [], {}
-    for k, n in enumerate([23, 24, 25, 30, *[51, 55, 60] * 8]):
-        passage = prose(n)
-        for i in (2 * k, 2 * k + 1):
-            before, after = prose(rng.randrange(40)), prose(rng.randrange(1, 40))
-            rows.append((i, " ".join(before + passage + after)))
-            want[i] = (n, " ".join(before + after)) if i % 2 and n >= 24 else (0, rows[-1][1])
-    got = paragraph_dedup.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: (r["n_removed"], r["text"]) for r in got} == want
-
-
-def test_near_copies_of_short_lines(spark):
-    """Lines of five words and more are compared; of four they are not."""
-    line = [f"w{i}" for i in range(15)]
-    rows = [(1, "one two three four five\na b c d\n" + " ".join(line)), (2, "x\none two three four five\na b c d\n" + " ".join([*line[:14], "y"]))]
-    got = {r["doc_id"]: r["text"] for r in paragraph_dedup.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: rows[0][1], 2: "x\na b c d\n"}
-
-
-def test_followers_link_to_other_lines(spark):
-    """Of p ~ x and x ~ c, where p is not near c, the link x ~ c is found too, whichever line comes first in the bucket."""
-    words = [f"w{i}" for i in range(120)]
-    texts = [" ".join(words[k : k + 80]) for k in (0, 8, 16)]  # Jaccard 68/84 for neighbours, 60/92 for the outer two
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    lines = {r["doc_id"]: r["h"] for r in paragraph_dedup.rows_of_lines(docs).collect()}
-    same = spark.createDataFrame([(h, [7]) for h in lines.values()], "h long, bands array<long>")
-    links = {frozenset((r["a"], r["b"])) for r in paragraph_dedup.line_links(same, docs).collect()}
-    assert links == {frozenset((lines[0], lines[1])), frozenset((lines[1], lines[2]))}
