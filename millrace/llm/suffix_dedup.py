@@ -24,9 +24,9 @@ WIDTH, TRIGGER = 50, 24
 SPAN = WIDTH - TRIGGER + 1  # strings of TRIGGER bytes in a window, and windows that one trigger can decide
 CONTEXT = WIDTH + SPAN - 1
 #: Bytes of text in a batch, and for each shard of the dictionary; documents from which on a trigger's windows are dealt out one by one.
-BATCH, PER_SHARD, HOT = 2 << 20, 1 << 20, 512
+BATCH, PER_SHARD, HOT = 1 << 20, 1 << 19, 512
 #: Bytes parsed at once, and bytes whose triggers a task gathers before it sends them.
-BLOCK, GATHER = 1 << 18, 8 << 20
+BLOCK, GATHER = 1 << 18, 4 << 20
 SPREAD = np.array([pow(0xD1342543DE82EF95, i + 1, 1 << 64) | 1 for i in range(WIDTH)], np.uint64)
 
 
@@ -81,7 +81,7 @@ def rows_of(rows: list[tuple], names: list[str], kinds: list) -> pa.Table:
 KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
 
 
-def shared_triggers(docs: DataFrame, n_batches: int, bits: int) -> DataFrame:
+def shared_triggers(docs: DataFrame, bits: int) -> DataFrame:
     """Rows (batch, 1, shard, data): the triggers of a batch that occur in several documents, and which of those are hot.
 
     Each task sends, for each shard of hashes, every trigger once per batch of documents with a mark if several of its
@@ -105,7 +105,7 @@ def shared_triggers(docs: DataFrame, n_batches: int, bits: int) -> DataFrame:
     def send(it):
         keys, batches, held = [], [], 0
         for batch in it:
-            ids = batch["doc_id"].to_numpy()
+            ids = batch["batch"].to_numpy()
             for lo, _, data, offsets in slices(batch["text"], 4 * BLOCK):
                 first, _, h = parse(data, offsets)
                 doc = np.searchsorted(offsets, first, "right") - 1 + lo
@@ -113,7 +113,7 @@ def shared_triggers(docs: DataFrame, n_batches: int, bits: int) -> DataFrame:
                 h, doc = h[order], doc[order]
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])[: len(h)]
                 keys.append(h[new])
-                batches.append((ids[doc[new]] % n_batches).astype(np.uint32))
+                batches.append(ids[doc[new]].astype(np.uint32))
                 held += len(data)
                 if held > GATHER:
                     yield from packed(np.concatenate(keys), np.concatenate(batches)).to_batches()
@@ -246,16 +246,17 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_batches = int(total // BATCH) | 1
-    bits = min(16, max(4, int(total // PER_SHARD).bit_length()))
+    bits = min(24, max(4, int(total // PER_SHARD).bit_length()))  # 24 and 40 make 64; shards grow beyond 8 TB
+    in_batch = F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).cast("int").alias("batch")  # ids of a stride spread too
     known = rows.where("doc_id is not null")
-    shared = shared_triggers(known, n_batches, bits)
-    texts = known.select(F.pmod("doc_id", F.lit(n_batches)).cast("int").alias("batch"), F.lit(0).alias("kind"), F.col("doc_id").alias("key"), F.encode("text", "UTF-8").alias("data"))
+    shared = shared_triggers(known.select("text", in_batch), bits)
+    texts = known.select(in_batch, F.lit(0).alias("kind"), F.col("doc_id").alias("key"), F.encode("text", "UTF-8").alias("data"))
 
     # of equal texts only the first is parsed; the others are told to their batches by name
     digests = cut(known.select("doc_id", F.md5("text").alias("digest")))
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = lookup(digests, cut(firsts), "digest").where("doc_id > first").select("doc_id", "digest").distinct()
-    named = cut(copies.select(F.pmod("doc_id", F.lit(n_batches)).cast("int").alias("batch"), F.lit(3).alias("kind"), F.col("doc_id").alias("key"), F.unhex("digest").alias("data")))
+    named = cut(copies.select(in_batch, F.lit(3).alias("kind"), F.col("doc_id").alias("key"), F.unhex("digest").alias("data")))
     shared = shared.unionByName(named)
 
     def contexts(t: pa.Table) -> pa.Table:
