@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once, beyond which only a single longer text goes.
-SLICE = 1 << 19
+SLICE = 1 << 18
 
 
 def slices(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -33,9 +33,23 @@ def batches(it: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.Recor
             yield batch.slice(lo, rows)
 
 
+#: Arrow's buffers come from the C library, so that trim() reaches them.
+pa.set_memory_pool(pa.system_memory_pool())
+
+
 def trim() -> None:
     """Gives memory that is free back to the system, where the C library can."""
     pa.default_memory_pool().release_unused()
     release = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if release:
         release(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives back what it doesn't need while it waits for its next task."""
+
+    def wrapped(it):
+        yield from run(it)
+        trim()
+
+    return wrapped

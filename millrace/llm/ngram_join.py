@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.arrowtext import batches, slices
+from millrace.llm.arrowtext import batches, lean, slices
 from millrace.llm.common import components, cut, lookup, salted, table
 from millrace.llm.textsets import shingles, words
 
@@ -44,7 +44,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["s"])
 
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(EVERY)) == 0).select("text").mapInArrow(run, "s long")
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(EVERY)) == 0).select("text").mapInArrow(lean(run), "s long")
     top = drawn.groupBy("s").count().where(F.col("count") >= SEEN).orderBy(F.desc("count"), "s").limit(FREQUENT)
     return top.toArrow()["s"].to_numpy()[::-1].copy()
 
@@ -71,7 +71,7 @@ def signatures(docs: DataFrame, last: np.ndarray) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ns, pa.int32()), pa.array(fps, pa.string()), pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "n", "fp", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, fp string, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n int, fp string, prefix array<long>")
 
 
 def shared_entries(classes: DataFrame, last: np.ndarray) -> DataFrame:
@@ -106,8 +106,8 @@ def shared_entries(classes: DataFrame, last: np.ndarray) -> DataFrame:
         yield from t.take(pa.array(order[several[run]])).combine_chunks().to_batches(max_chunksize=50_000)
 
     schema = "s long, node long, n int, rest int"
-    rare = entries.mapInArrow(split(False), schema).repartition(F.col("s")).mapInArrow(shared, schema)
-    return cut(rare.unionByName(entries.mapInArrow(split(True), schema)))
+    rare = entries.mapInArrow(lean(split(False)), schema).repartition(F.col("s")).mapInArrow(lean(shared), schema)
+    return cut(rare.unionByName(entries.mapInArrow(lean(split(True)), schema)))
 
 
 def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def sets(of: str) -> DataFrame:
         ids = cut(pairs.select(F.col(of).alias("doc_id")).distinct())
         ids = F.broadcast(ids) if ids.count() <= SENT else ids
-        return docs.select("doc_id", "text").join(ids, "doc_id").mapInArrow(run, "node long, set binary").withColumnsRenamed({"node": of, "set": f"set_{of}"})
+        return docs.select("doc_id", "text").join(ids, "doc_id").mapInArrow(lean(run), "node long, set binary").withColumnsRenamed({"node": of, "set": f"set_{of}"})
 
     # hot centres are found on the bare pairs, so that sets move only once
     spread, copies, on = salted(pairs, sets("a"), "a")
@@ -141,7 +141,7 @@ def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 o.append(int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0)
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], *[pa.array(v, pa.int32()) for v in (o, na, nb)]], names=[*names, "o", "na", "nb"])
 
-    return cut(both.select(*names, "set_a", "set_b").mapInArrow(count, f"{types}, o int, na int, nb int"))
+    return cut(both.select(*names, "set_a", "set_b").mapInArrow(lean(count), f"{types}, o int, na int, nb int"))
 
 
 LINKED = "100L * o >= 80L * (na + nb - o)"

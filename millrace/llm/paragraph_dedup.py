@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.arrowtext import batches, slices
+from millrace.llm.arrowtext import batches, lean, slices
 from millrace.llm.common import components, cut, lookup, shared_path, table
 from millrace.llm.textsets import STEPS, mix, powers, shingles, words
 
@@ -147,7 +147,7 @@ def rows_of_lines(docs: DataFrame) -> DataFrame:
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[part.row]), signed(part.h), listed], names=["doc_id", "h", "bands"])
 
-    return docs.mapInArrow(lines, "doc_id long, h long, bands array<long>")
+    return docs.mapInArrow(lean(lines), "doc_id long, h long, bands array<long>")
 
 
 def rows_of_grams(docs: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def rows_of_grams(docs: DataFrame) -> DataFrame:
                 doc = np.repeat(ids[[r for r, _ in found]], [len(g) for _, g in found])
                 yield pa.RecordBatch.from_arrays([pa.array(doc), signed(np.concatenate([g for _, g in found]))], names=["doc_id", "g"])
 
-    return docs.mapInArrow(run, "doc_id long, g long")
+    return docs.mapInArrow(lean(run), "doc_id long, g long")
 
 
 def rows_of_phrases(docs: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def rows_of_phrases(docs: DataFrame) -> DataFrame:
             joined = [np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((doc, np.int64), (grams, np.uint64), (hashes, np.uint64))]
             yield pa.RecordBatch.from_arrays([*[signed(x) for x in joined], listed], names=["doc_id", "g", "p", "windows"])
 
-    return docs.mapInArrow(run, "doc_id long, g long, p long, windows array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, g long, p long, windows array<long>")
 
 
 def kept_rows(rows: DataFrame, label: str) -> DataFrame:
@@ -234,8 +234,8 @@ def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["h"], pa.array(found, pa.binary())], names=["h", "set"])
 
     few = ids.count() <= SENT
-    needed = docs.select("text").mapInArrow(lines, "h long, words binary").join(F.broadcast(ids) if few else ids, "h")
-    return cut(needed.groupBy("h").agg(F.first("words").alias("words")).mapInArrow(sets, "h long, set binary"))  # equal lines have equal words
+    needed = docs.select("text").mapInArrow(lean(lines), "h long, words binary").join(F.broadcast(ids) if few else ids, "h")
+    return cut(needed.groupBy("h").agg(F.first("words").alias("words")).mapInArrow(lean(sets), "h long, set binary"))  # equal lines have equal words
 
 
 def verified(pairs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def verified(pairs: DataFrame, needed: DataFrame) -> DataFrame:
                 keep.append(100 * o >= round(100 * THRESHOLD) * (len(x) + len(y) - o))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return cut(both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long"))
+    return cut(both.select("a", "b", "set_a", "set_b").mapInArrow(lean(check), "a long, b long"))
 
 
 def links_inside(t: pa.Table) -> pa.Table:
@@ -411,7 +411,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
             arrays = [batch["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "spans", "text"])
 
-    return marked.select("doc_id", "text", "copy", "phrases", "windows", "lines").mapInArrow(run, "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, text string")
+    return marked.select("doc_id", "text", "copy", "phrases", "windows", "lines").mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, text string")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

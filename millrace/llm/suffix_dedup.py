@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.arrowtext import slices, trim
+from millrace.llm.arrowtext import lean, slices, trim
 from millrace.llm.common import cut, lookup, table
 from millrace.llm.textsets import mix, powers
 
@@ -146,7 +146,7 @@ def shared_triggers(docs: DataFrame, bits: int) -> DataFrame:
         rows = [(int(of[a]), 1, shard, planes(low[a:b] << np.uint64(1) | hot[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return rows_of(rows, NAMES, KINDS)
 
-    return cut(docs.mapInArrow(send, "shard int, data binary").groupBy("shard").applyInArrow(meet, SHARED))
+    return cut(docs.mapInArrow(lean(send), "shard int, data binary").groupBy("shard").applyInArrow(meet, SHARED))
 
 
 class Batch:
