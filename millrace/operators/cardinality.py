@@ -36,11 +36,11 @@ class GrayConfig:
 
 
 def latest(df: DataFrame, keys: Sequence[str], day: str, upto: object) -> DataFrame:
-    """The latest row of each key that is not after a day; rows with a null key don't count."""
+    """The latest row of each key that is not after a day; of equal days the greatest by the other columns. Rows with a null key don't count."""
     known = df.where(F.col(day) <= F.lit(upto))
     for k in keys:
         known = known.where(F.col(k).isNotNull())
-    return first_per_key(known, keys, [F.desc(day)])
+    return first_per_key(known, keys, [F.desc(day), *[F.desc(c) for c in df.columns if c not in (day, *keys)]])
 
 
 def gray_list(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[Column], threshold: int, bins: int = 100) -> DataFrame:
@@ -62,8 +62,10 @@ def event_gray_list(df: DataFrame, app: str, event: str, day: str, count: str, u
 
 
 def key_of(columns: Sequence[str | Column]) -> Column:
-    """One key for lists and rows alike."""
-    return F.concat_ws("|", *columns)
+    """One key for lists and rows alike: values between bars, with bars and backslashes inside them escaped and nulls as \\N, so
+    that no two different rows of values have the same."""
+    texts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]
+    return F.concat_ws("|", *[F.coalesce(F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\\N")) for t in texts])
 
 
 def list_sets(lists: DataFrame, limited: GrayField, day: str, hash_values: bool = False) -> DataFrame:

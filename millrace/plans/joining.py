@@ -145,11 +145,11 @@ def xml_parse(spark, sf_dir):
     return rows.select("page_id", F.col("p.Name").alias("name"), "code")
 
 
-@R.query()
+@R.query("""select event_id::varchar as key, '{"event_id":' || event_id || ',"user_id":' || user_id || '}' as value, 'events-' || event_type as topic from events""")
 def kafka_payload(spark, sf_dir):
     """Records for a broker: key, JSON value and topic."""
     e = table(spark, sf_dir, "events")
-    return kafka.payload(e, "event_id", ["event_id", "user_id", "value"], F.concat(F.lit("events-"), F.col("event_type")))
+    return kafka.payload(e, "event_id", ["event_id", "user_id"], F.concat(F.lit("events-"), F.col("event_type")))
 
 
 @R.query("select event_id, ts + (timestamp '2030-01-01' - (select min(ts) from events)) as ts from events")

@@ -165,12 +165,11 @@ def usage_multi_period(spark, sf_dir):
 URLS = "regexp_replace(url, '^https?://[^/]+', '')"
 
 
-@R.query(f"""with r as (select day(e.ts)::integer as day, {URLS} as url from events e join pages p on e.event_id % 50 = p.page_id)
+@R.query(f"""with p as (select {URLS} as url, row_number() over (order by page_id, {URLS}) - 1 as page, count(*) over () as pages from pages where page_id is not null),
+ r as (select day(e.ts)::integer as day, p.url from events e join p on e.event_id % p.pages = p.page)
  select day, url, count(*) as n from r group by all""")
 def top_urls_daily(spark, sf_dir):
-    """Requests by day of the month, the most asked first; events stand in for visits to pages, spread over all of them by rank.
-
-    The SQL twin still knows the pages 0 to 49 only, see README."""
+    """Requests by day of the month, the most asked first; events stand in for visits to pages, spread over all of them by rank."""
     path = F.regexp_replace("url", "^https?://[^/]+", "")
     p = table(spark, sf_dir, "pages").where("page_id is not null").select("page_id", path.alias("url"), F.floor(F.col("page_id") / 4096).alias("range"))
     # ranks without one task that sees all pages: those of smaller ranges, and the place within the range

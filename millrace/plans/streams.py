@@ -93,13 +93,16 @@ def S_file_sink(spark, sf_dir):
 @R.query("select event_type, count(*) as n from events group by event_type")
 def S_idempotent(spark, sf_dir):
     """A sink that is given each batch twice, as after a failure, and keeps it once."""
-    at, seen = scratch(spark), set()
+    at = scratch(spark)
+    folder = lambda number: spark._jvm.org.apache.hadoop.fs.Path(f"{at}/batch={number}/_SUCCESS")
 
     def write(batch, number):
         batch.write.mode("overwrite").parquet(f"{at}/batch={number}")
-        seen.add(number)
 
-    sink = core.once_per_batch(write, seen.__contains__)
+    def done(number):  # the storage knows, also after a restart
+        return folder(number).getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder(number))
+
+    sink = core.once_per_batch(write, done)
 
     def twice(batch, number):
         sink(batch, number)

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
@@ -58,19 +58,43 @@ def denormalise(readings: DataFrame, sensors: DataFrame, key: str) -> DataFrame:
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """A folder for a stream's offsets and state in the session's shared storage."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="millrace-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def to_memory(df: DataFrame, mode: str = "append", name: str | None = None) -> DataFrame:
-    """Runs a stream over all that is there and returns what it has written, from a table in memory. For small results."""
+def to_memory(df: DataFrame, mode: str = "append", name: str | None = None, trigger: dict | None = None, rows: int = 0) -> DataFrame:
+    """Runs a stream over all that is there and returns what it has written, from a table in memory. For small results.
+
+    With a trigger of its own it runs until it has written that many rows."""
     spark = df.sparkSession
     name = name or f"stream_{uuid.uuid4().hex}"
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint_folder(spark)).trigger(availableNow=True).start()
+    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint_folder(spark)).trigger(**trigger or {"availableNow": True}).start()
+    if trigger:
+        while query.isActive and spark.table(name).count() < rows:
+            query.awaitTermination(1)
+        query.stop()
     query.awaitTermination()
     return spark.table(name)
 
 
+def to_console(df: DataFrame, rows: int = 20) -> int:
+    """Runs a stream over all that is there, shows some rows of each batch, and returns how many it has read."""
+    query = df.writeStream.format("console").option("numRows", rows).option("truncate", True).option("checkpointLocation", checkpoint_folder(df.sparkSession)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return sum(p.numInputRows for p in query.recentProgress)
+
+
+def observed(df: DataFrame, *counters: Column) -> dict:
+    """Runs df without keeping its rows; what the counters have seen on the way."""
+    seen = Observation()
+    df.observe(seen, *counters).write.format("noop").mode("overwrite").save()
+    return seen.get
+
+
 def to_files(df: DataFrame, path: str, checkpoint: str, form: str = "parquet", every: str | None = None) -> StreamingQuery:
     """Appends to a folder. One trigger a minute or so (every) keeps files from becoming many and tiny; else all that is there."""
     writer = df.writeStream.format(form).outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
