@@ -60,12 +60,17 @@ def cut(df: DataFrame) -> DataFrame:
     out = df.checkpoint()
     if time.monotonic() - _collected[0] > COLLECT_S:
         del df
-        gc.collect()
-        out.sparkSession.sparkContext._jvm.System.gc()
-        _collected[0] = time.monotonic()
+        release(out.sparkSession)
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete what it has written for plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    _collected[0] = time.monotonic()
+
+
 def with_size(df: DataFrame, text: str = "text", name: str = "size") -> DataFrame:
     """Adds the number of words of a text; null counts as 0."""
     return df.withColumn(name, F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))

@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.arrowtext import lean, slices, trim
-from millrace.llm.common import cut, lookup, table
+from millrace.llm.common import cut, lookup, release, table
 from millrace.llm.textsets import mix, powers
 
 WIDTH, TRIGGER = 50, 24
 SPAN = WIDTH - TRIGGER + 1  # strings of TRIGGER bytes in a window, and windows that one trigger can decide
 CONTEXT = WIDTH + SPAN - 1
 #: Bytes of text in a batch, and for each shard of the dictionary; documents from which on a trigger's windows are dealt out one by one.
-BATCH, PER_SHARD, HOT = 1 << 20, 1 << 19, 512
+BATCH, PER_SHARD, HOT = 2 << 20, 1 << 19, 512
 #: Bytes parsed at once, and bytes whose triggers a task gathers before it sends them.
 BLOCK, GATHER = 1 << 18, 4 << 20
 SPREAD = np.array([pow(0xD1342543DE82EF95, i + 1, 1 << 64) | 1 for i in range(WIDTH)], np.uint64)
@@ -279,6 +279,8 @@ def find_repeats(docs: DataFrame) -> DataFrame:
 
     sent = texts.unionByName(shared).groupBy("batch").applyInArrow(contexts, "shard int, batch int, rows binary, least binary")
     judged = cut(sent.groupBy("shard").applyInArrow(judge, SHARED))
+    del sent
+    release(docs.sparkSession)  # the texts and contexts that were dealt out for it
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def remove(t: pa.Table) -> pa.Table:
