@@ -189,7 +189,7 @@ def nearest(queries: DataFrame, graphs: DataFrame, shards: int, k: int = 20, bre
             graph = Graph.from_bytes(right["graph"][0].as_py())
             x = left["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(left.num_rows, -1)
             for query_id, q in zip(left["vec_id"].to_pylist(), x, strict=True):
-                rows += [(query_id, i, s) for s, i in graph.search(q, k + 1, breadth) if i != query_id][:k]
+                rows += [(query_id, i, s) for s, i in graph.search(q, k + int((graph.ids == query_id).sum()), breadth) if i != query_id][:k]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [(), (), ()], (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
     found = asked.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInArrow(ask, "query_id long, vec_id long, score double")
