@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import components, cut, lookup, table
 
@@ -73,21 +76,25 @@ def visits_for(sample: np.ndarray, books: tuple, threshold: float, recall: float
 
 
 def unit(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(vectors.to_pylist()), np.float32).reshape(-1, dim).astype(np.float64)
+    """The vectors at length 1, from the bytes of their floats or doubles."""
+    raw = vectors.to_pylist()
+    data = b"".join(raw)
+    x = np.frombuffer(data, np.float64 if len(data) == 8 * dim * len(raw) else np.float32).reshape(-1, dim).astype(np.float64)
+    x = x / np.abs(x).max(1, initial=0)[:, None]  # so that no square is too large or too small
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(vec_id, embedding) that can be compared, and their number of components.
+def usable(vectors: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(vec_id, embedding) that can be compared, and the lengths that they have: vectors compare with those of their length.
 
-    Vectors that are null, empty, all zero, or hold null or non-finite components take no part; nor do those of another
-    length than most have."""
+    Vectors that are null, empty, all zero, or hold null or non-finite components take no part. Components are floats where
+    the column's are, else doubles."""
     e = F.col("embedding")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     kept = vectors.where(F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0)).where(fine)
-    kept = kept.select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<float>").alias("embedding"))
-    most = kept.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return (kept.where(F.size("embedding") == most["n"]), most["n"]) if most else (kept, 0)
+    kind = "float" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "double"
+    kept = kept.select(F.col("vec_id").cast("long").alias("vec_id"), e.cast(f"array<{kind}>").alias("embedding"))
+    return kept, sorted(r[0] for r in kept.select(F.size("embedding")).distinct().collect())  # a row per length
 
 
 def links_and_edges(classes: DataFrame, dim: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
@@ -116,7 +123,8 @@ def links_and_edges(classes: DataFrame, dim: int, threshold: float, recall: floa
     held = np.zeros(k * k, np.int64)
     for r in placed.groupBy("cell").count().collect():  # MOST_CODES squared rows at most
         held[r["cell"]] = r["count"]
-    # neighbouring cells of a first codeword share a group until it is full; a cell beyond that is dealt out over tiles
+    # neighbouring cells of a first codeword share a group until it is full; a cell beyond that is dealt out over tiles, and
+    # those that visit it over as many, so that each pair of tiles is a task of its own
     group, tiles, now, filled = np.zeros(k * k, np.int32), [0], 0, 0
     for cell in range(k * k):
         if filled and (cell % k == 0 or filled + held[cell] > GROUP):
@@ -126,8 +134,8 @@ def links_and_edges(classes: DataFrame, dim: int, threshold: float, recall: floa
         filled += held[cell]
         tiles[now] = max(1, -(-filled // GROUP))
     tiles = np.array(tiles, np.int64)
-    names = ["g", "tile", "member", "rep", "w", "own", "cells", "v"]
-    kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["g", "tile", "guest", "member", "rep", "w", "own", "cells", "v"]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
     def deal(it):
         for batch in it:
@@ -137,13 +145,13 @@ def links_and_edges(classes: DataFrame, dim: int, threshold: float, recall: floa
                 cells = nearest_cells(*near(unit(part["v"], dim)), visits)
                 out: list[tuple] = []
                 for r, w, v, c, seen in zip(reps.tolist(), weights.tolist(), vectors, own.tolist(), cells, strict=True):
-                    g = int(group[c])
-                    out.append((g, r % int(tiles[g]), True, r, w, c, None, v))
+                    g, at = int(group[c]), zlib.crc32(r.to_bytes(8, "little", signed=True))  # ids may have a common stride
+                    out += [(g, at % int(tiles[g]), t, True, r, w, c, None, v) for t in range(int(tiles[g]))]
                     seen = np.sort(seen[held[seen] > 0]).astype(np.int32)
                     of = group[seen]
                     for g in np.unique(of).tolist():
                         listed = seen[of == g].tobytes()
-                        out += [(g, t, False, r, w, c, listed, v) for t in range(int(tiles[g]))]
+                        out += [(g, t, at % int(tiles[g]), False, r, w, c, listed, v) for t in range(int(tiles[g]))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     def met(y: np.ndarray, x_cells: np.ndarray) -> np.ndarray:
@@ -200,7 +208,7 @@ def links_and_edges(classes: DataFrame, dim: int, threshold: float, recall: floa
         rows = [(i, None, n) for i, n in counts.items()] + [(a, b, None) for a, b in edges if a != b]
         return pa.table([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [(), (), ()])], names=["a", "b", "n"])
 
-    found = cut(placed.mapInArrow(deal, "g int, tile int, member boolean, rep long, w long, own int, cells binary, v binary").groupBy("g", "tile").applyInArrow(compare, "a long, b long, n long"))
+    found = cut(placed.mapInArrow(deal, "g int, tile int, guest int, member boolean, rep long, w long, own int, cells binary, v binary").groupBy("g", "tile", "guest").applyInArrow(compare, "a long, b long, n long"))
     links = found.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     return links, found.where("b is not null").select("a", "b")
 
@@ -210,32 +218,41 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
 
     Equal vectors are one class with a weight, so that copies cost nothing; classes are compared only in the cells that the
     traversal visits, every comparison is exact, and each group emits a forest instead of its pairs. Vectors that cannot be
-    compared (see usable) have no links and are their own component; a null vec_id has a null component and is kept. Rows
-    that share a vec_id count as vectors of their own. An empty table gives no rows; other columns are not read."""
-    spark = vectors.sparkSession
-    fine, dim = usable(vectors)
-    key = F.md5(F.to_json(F.struct("embedding")))
-    keyed = fine.withColumn("key", key)
-    if dim < 2:
-        return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    compared (see usable) have no links and are their own component; a null vec_id has a null component and is kept. Vectors
+    of different lengths never link. Rows that share a vec_id count as vectors of their own. An empty table gives no rows;
+    other columns are not read."""
+    fine, lengths = usable(vectors)
+    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
+    nothing = fine.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")).limit(0)
+    found = [linked(fine.where(F.size("embedding") == n), n, threshold, recall) for n in lengths]
+    by_id = reduce(DataFrame.unionByName, found, nothing).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    component = F.coalesce("component_id", "vec_id")
+    return out.join(by_id, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+def linked(fine: DataFrame, dim: int, threshold: float, recall: float) -> DataFrame:
+    """(vec_id, n_links, component_id) of vectors of one length; those of a single component link if their signs agree."""
+    same = F.to_json(F.struct("embedding")) if dim > 1 else F.signum(F.element_at("embedding", 1)).cast("string")
+    keyed = fine.withColumn("key", F.md5(same))
+    number = np.float32 if isinstance(fine.schema["embedding"].dataType.elementType, T.FloatType) else np.float64
 
     def bytes_of(it):
         for batch in it:
-            flat = batch["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+            flat = batch["embedding"].flatten().to_numpy(zero_copy_only=False).astype(number).reshape(-1, dim)
             yield pa.RecordBatch.from_arrays([batch["key"], batch["rep"], batch["w"], pa.array([r.tobytes() for r in flat], pa.binary())], names=["key", "rep", "w", "v"])
 
     grouped = keyed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("embedding").alias("embedding"))
     classes = cut(grouped.select("key", "rep", "w", "embedding").mapInArrow(bytes_of, "key string, rep long, w long, v binary"))
-    links, edges = links_and_edges(classes, dim, threshold, recall)
-    roots = components(edges).withColumnRenamed("node", "rep")
-    by_class = classes.select("key", "rep", "w").join(links, "rep", "left").join(roots, "rep", "left")
+    by_class = classes.select("key", "rep", "w")
+    if dim > 1:
+        links, edges = links_and_edges(classes, dim, threshold, recall)
+        by_class = by_class.join(links, "rep", "left").join(components(edges).withColumnRenamed("node", "rep"), "rep", "left")
+    else:
+        by_class = by_class.withColumn("n", F.lit(0).cast("long")).withColumn("component", F.col("rep"))
     by_class = by_class.select("key", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    found = lookup(keyed.select("key", "vec_id"), by_class, "key").select("vec_id", "n_links", "component_id")
-    by_id = found.groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(by_id, "vec_id", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return lookup(keyed.select("key", "vec_id"), by_class, "key").select("vec_id", "n_links", "component_id")
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector: vec_id, n_links, component_id and kept. Edge cases: see near_duplicates."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 import heapq
 import math
 import pickle
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ class Graph:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, links: int = LINKS, build: int = BUILD):
         order = np.argsort(ids, kind="stable")
-        ids, vectors = ids[order], np.ascontiguousarray(vectors[order], np.float32)
+        ids, vectors = ids[order], np.ascontiguousarray(vectors[order], vectors.dtype if vectors.dtype == np.float64 else np.float32)
         _, first, node = np.unique(vectors.view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel(), return_index=True, return_inverse=True)
         by_node = np.argsort(node, kind="stable")
         self.ids, self.ends = ids[by_node], np.cumsum(np.bincount(node))
@@ -193,6 +194,10 @@ def nearest(queries: DataFrame, graphs: DataFrame, shards: int, k: int = 20, bre
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [(), (), ()], (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
     found = asked.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInArrow(ask, "query_id long, vec_id long, score double")
+    return best_of(found, k)
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -200,15 +205,24 @@ def nearest(queries: DataFrame, graphs: DataFrame, shards: int, k: int = 20, bre
 def search_all(vectors: DataFrame, every: int = 20, k: int = 20, shard: int = SHARD, breadth: int = BREADTH) -> DataFrame:
     """The k nearest found of each row whose vec_id is divisible by `every`, among all other rows.
 
-    Vectors that cannot be compared (see embedding_dedup.usable) are neither queries nor candidates. Repeated vectors are
-    candidates each; rows that share a query's vec_id are not, and of candidates that share a vec_id each row counts. With
-    fewer candidates than k all are returned; an empty table gives no rows; other columns are not read."""
-    fine, _ = usable(vectors)
+    Vectors that cannot be compared (see embedding_dedup.usable) are neither queries nor candidates; the others are
+    candidates for queries of their own length. Repeated vectors are candidates each; of rows that share a query's vec_id
+    the least of each length asks and none is a candidate, and of candidates that share a vec_id each row counts. With fewer
+    candidates than k all are returned; an empty table gives no rows; other columns are not read."""
+    fine, lengths = usable(vectors)
     fine = cut(fine)
-    shards = max(1, math.ceil(fine.count() / shard))
-    queries = fine.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    return nearest(queries, build(fine, shards), shards, k, breadth)
+    found = []
+    for n in lengths:
+        of_length = fine.where(F.size("embedding") == n)
+        shards = max(1, math.ceil(of_length.count() / shard))
+        queries = of_length.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+        found.append(nearest(queries, build(of_length, shards), shards, k, breadth))
+    if len(found) == 1:
+        return found[0]
+    every_one = reduce(DataFrame.unionByName, found) if found else fine.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+    return best_of(every_one.drop("rank"), k)
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per query and rank: query_id, rank, vec_id and score. Edge cases: see search_all."""
     return search_all(table(spark, sf_dir, "embeddings"))

@@ -87,3 +87,37 @@ def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.near_duplicates(none).count() == 0
     assert hnsw.search_all(none).count() == 0
+
+
+def test_lengths_compare_among_themselves(spark):
+    """Doubles that floats cannot tell apart, vectors of one, two and three components, and repeated ids."""
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [1.0, 1e-12, 0.0]), (4, [0.0, 0.0, 5.0]), (5, [3.0]), (6, [7.0]), (7, [-1.0]), (8, [1e200, 1e200]), (9, [1e-200, 1e-200]), (9, [1e-200, 1e-200])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == [(0, 1, 0), (1, 1, 0), (2, 1, 2), (3, 1, 2), (4, 0, 4), (5, 1, 5), (6, 1, 5), (7, 0, 7), (8, 2, 8), (9, 2, 8), (9, 2, 8)]
+    near = hnsw.search_all(spark.createDataFrame([(0, [1.0, 0.0]), (20, [1.0, 1e-12, 0.0]), *rows[1:5]], "vec_id long, embedding array<double>"), every=20).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in near) == [(0, 1, 1, 2.0), (20, 1, 2, 1.0), (20, 2, 3, 1.0 + 1e-24), (20, 3, 4, 0.0)]
+
+
+def test_planted_links_over_tiles(spark):
+    """Ten thousand vectors, a third of them near one centre, so that a cell is dealt out over tiles; ids with a common stride."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(8000, 16))
+    x[:2600] = x[0] + rng.normal(size=(2600, 16)) * 0.02
+    x[2600:3000] = x[3000:3400] + rng.normal(size=(400, 16)) * 0.05
+    ids = np.arange(len(x)) * 64
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<float>").repartition(8)
+    y = x.astype(np.float32).astype(float)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    linked = y @ y.T >= 0.9
+    want = linked.sum(1) - 1
+    group = embedding_dedup.GROUP
+    try:
+        embedding_dedup.GROUP = 512
+        got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df).collect()}
+    finally:
+        embedding_dedup.GROUP = group
+    found = np.array([got[int(i)]["n_links"] for i in ids])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
+    assert found[2600:3000].sum() >= 0.99 * want[2600:3000].sum()
+    assert len({got[int(i)]["component_id"] for i in ids[:2600]}) == 1
