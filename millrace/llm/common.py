@@ -76,6 +76,16 @@ def with_size(df: DataFrame, text: str = "text", name: str = "size") -> DataFram
     return df.withColumn(name, F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
 
 
+def named(columns: list[str], of: str = "") -> list:
+    """Columns by name, whatever is in the names; of a struct, if `of` names one."""
+    return [F.col(f"{of and of + '.'}`{c.replace('`', '``')}`").alias(c) for c in columns]
+
+
+def packed(docs: DataFrame, columns: list[str], *beside) -> DataFrame:
+    """row, a struct of columns of docs that no working column can clash with, and the columns `beside` it."""
+    return docs.select((F.struct(*named(columns)) if columns else F.lit(None)).alias("row"), *beside)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, lookup, table
+from millrace.llm.common import cut, lookup, named, packed, table
 
 #: A line on so many distinct sites is boilerplate. Sketches have 2**LG_K registers; estimates within MARGIN of the bound are counted exactly.
 MIN_SITES, LG_K, MARGIN = 10, 8, 0.25
 
 
+def key_of(line):
+    """What stands for a line: 128 bits of a hash, so that different lines do not meet among any number that could be stored."""
+    return F.unhex(F.md5(line))
+
+
 def lines_of(docs: DataFrame, site: str = "source") -> DataFrame:
-    """(doc_id, site, h) of every line that is not blank; h is the line's 64-bit hash."""
-    split = docs.select("doc_id", F.coalesce(F.xxhash64(site), F.lit(0)).alias("site"), F.explode(F.split("text", "\n")).alias("line"))
-    return split.where(F.trim("line") != "").select("doc_id", "site", F.xxhash64("line").alias("h"))
+    """(doc_id, site, h) of every line that is not blank; h is the line's hash."""
+    split = docs.select("doc_id", F.xxhash64(site).alias("site"), F.explode(F.split("text", "\n")).alias("line"))
+    return split.where(F.trim("line") != "").select("doc_id", "site", key_of("line").alias("h"))
 
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, margin: float = MARGIN) -> DataFrame:
@@ -35,36 +40,48 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
     """docs with boilerplate lines taken out of text; adds n_lines and n_removed.
 
     keep_first leaves each such line in the document with the smallest doc_id that has it, so that no content is lost.
-    Lines are compared exactly, by hash; blank lines stay. A null text stays null with 0 lines; a null site is a site of its
-    own; a null doc_id keeps its lines, though they count; rows that share a doc_id are one document; an empty table gives no
-    rows. Other columns are carried along, those named n_lines or n_removed replaced. Very common lines meet no single task:
-    counts are pre-aggregated and the join back is salted."""
+    Lines are compared exactly, by a hash of 128 bits; blank lines stay. A null text stays null with 0 lines; a null site is
+    a site of its own; a null doc_id keeps its lines, though they count; rows that share a doc_id are one document; an empty
+    table gives no rows. Other columns are carried along, whatever their names; those named n_lines or n_removed are
+    replaced. Very common lines meet no single task: counts are pre-aggregated and the join back is salted."""
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    rest = strip(docs, [c for c in kept if c != "text"], site, min_sites, keep_first)
+    return rest.select(*[F.col("text") if c == "text" else named([c], "row")[0] for c in kept], "n_lines", "n_removed")
+
+
+def strip(docs: DataFrame, columns: list[str], site: str = "source", min_sites: int = MIN_SITES, keep_first: bool = True) -> DataFrame:
+    """row, a struct of columns of docs, text without boilerplate lines, n_lines and n_removed; see remove_boilerplate."""
     lines = cut(lines_of(docs.select("doc_id", "text", site), site).dropDuplicates(["doc_id", "site", "h"]))
     spread = cut(spread_lines(lines, min_sites))
     hits = cut(lookup(lines.select("doc_id", "h").where("doc_id is not null"), spread, "h"))
     if keep_first:
         hits = lookup(hits, hits.groupBy("h").agg(F.min("doc_id").alias("first")), "h").where("doc_id != first")
-    drop = hits.groupBy("doc_id").agg(F.collect_set("h").alias("_drop"))
-    joined = docs.select(*kept).join(drop, "doc_id", "left")
+    drop = hits.groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
+    joined = packed(docs, columns, "doc_id", "text").join(drop, "doc_id", "left")
     parts = F.split("text", "\n")
-    stay = F.filter(parts, lambda x: (F.trim(x) == "") | ~F.array_contains("_drop", F.xxhash64(x)))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
+    stay = F.filter(parts, lambda x: (F.trim(x) == "") | ~F.array_contains("gone", key_of(x)))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
     before, after = F.coalesce(F.size(parts), F.lit(0)), F.coalesce(F.size(stay), F.lit(0))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(before)
-    n_removed = F.when(F.col("text").isNull() | F.col("_drop").isNull(), 0).otherwise(before - after)
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in kept], n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))
+    n_removed = F.when(F.col("text").isNull() | F.col("gone").isNull(), 0).otherwise(before - after)
+    return joined.select("row", text.alias("text"), n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without boilerplate lines; one that consisted of nothing else goes."""
-    out = remove_boilerplate(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    """Pipeline stage: documents without boilerplate lines; one that consisted of nothing else goes.
+
+    All columns keep their values, whatever their names, but for the texts that lines are taken from and their n_chars.
+    Nulls, repeated rows, empty texts and empty tables: see remove_boilerplate."""
+    rest = strip(docs, [c for c in docs.columns if c != "text"]).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return rest.select(*[new[c].alias(c) if c in new else named([c], "row")[0] for c in docs.columns])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_lines, n_removed and kept_md5, the MD5 of the text that is left (null: null). Edge cases: see
+    remove_boilerplate."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return remove_boilerplate(docs).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
 

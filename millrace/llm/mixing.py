@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, running_totals, table, with_size
+from millrace.llm.common import WORD, cut, named, packed, running_totals, table, with_size
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -13,6 +13,8 @@ WEIGHTS = (5, 2, 1)
 #: Heavy sources fade, light ones grow. Each schedule's mean is 1, so the totals stay at the weights.
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 BUDGET, REPEATS, BUCKETS = 1.5, 2, 1024
+#: What the mix adds to each row.
+ADDED = ["size", "source_size", "target", "taken", "position", "source_before", "kind"]
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
@@ -57,17 +59,20 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES,
 
     Nulls: a null source is a source of its own, last in order; a null text has size 0; a null doc_id is ordered first.
     Rows that are equal in all of doc_id, source and size are interchangeable. An empty table gives no rows. Other columns
-    are carried along; those named like one of the added columns are replaced."""
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "position", "source_before", "kind")]
-    sized = with_size(docs.select(*kept))
+    are carried along, whatever their names; those named like one of ADDED are replaced."""
+    kept = [c for c in docs.columns if c not in ADDED]
+    return place(docs, kept, weights, schedules, budget, repeats, buckets).select(*named(kept, "row"), *ADDED)
+
+
+def place(docs: DataFrame, columns: list[str], weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES, budget: float = BUDGET, repeats: int = REPEATS, buckets: int = BUCKETS) -> DataFrame:
+    """row, a struct of columns of docs, doc_id and ADDED of each row of docs; see mix."""
+    sized = with_size(packed(docs, columns, "doc_id", "source", "text")).drop("text")
     key = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
     digest = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(1 << 32)) * buckets / (1 << 32)
-    sized = sized.withColumn("src", key).withColumn("digest", digest).withColumn("bucket", F.floor(bucket).cast("int"))
+    sized = sized.withColumn("src", key).drop("source").withColumn("digest", digest).withColumn("bucket", F.floor(bucket).cast("int"))
     by_bucket = cut(sized.groupBy("src", "bucket").agg(F.sum("size").alias("words")))
     targets = source_targets(by_bucket.groupBy("src").agg(F.sum("words").alias("source_size")), weights, budget, repeats)
-    from pyspark.sql import Window
-
     earlier = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = by_bucket.select("src", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base")).join(targets, "src")
     inside = Window.partitionBy("src", "bucket").orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,11 +82,12 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES,
     rest = goal - passes * F.col("source_size")
     taken = passes * F.col("size") + F.least(F.greatest(rest - F.col("source_before"), F.lit(0)), F.col("size"))
     first = F.when(F.col("taken") > 0, position_of(F.col("source_before") / F.col("target"), F.col("kind"), schedules))
-    return placed.withColumn("taken", taken).withColumn("position", first).select(*kept, "size", "source_size", "target", "taken", "position", "source_before", "kind")
+    return placed.withColumn("taken", taken).withColumn("position", first).select("row", "doc_id", *ADDED)
 
 
 def expand(mixed: DataFrame, schedules: tuple = SCHEDULES) -> DataFrame:
-    """A row for each copy that the mix takes, dealt out and sorted by training position; adds copy and words (at most size).
+    """A row for each copy that the mix takes, dealt out and sorted by training position; adds copy and words (at most size),
+    which replace columns of these names.
 
     Documents without words are taken once, at the position of what stands before them, if their source is taken at all."""
     size, taken = F.col("size"), F.col("taken")
@@ -95,20 +101,26 @@ def expand(mixed: DataFrame, schedules: tuple = SCHEDULES) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows of documents in training order, repeated as often as the mix takes them; the last copy of the
-    document at the end of a source's target is cut to the words taken."""
-    from millrace.llm.common import WORD
-
-    first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("words").cast("int")), " ")
-    text = F.when(F.col("words") < F.col("size"), first_words).otherwise(F.col("text"))
-    rows = expand(mix(docs)).withColumn("text", text)
+    document at the end of a source's target is cut to the words taken.
+
+    All columns keep their values, whatever their names, but for the text of a cut copy and its n_chars. Nulls, repeated rows
+    and empty tables: see mix; null and blank texts are taken once."""
+    rows, short = expand(place(docs, docs.columns)), F.col("words") < F.col("size")
+    first_words = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), 1, F.col("words").cast("int")), " ")
+    text = F.when(short, first_words).otherwise(F.col("row.text"))
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("words") < F.col("size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.when(short, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return rows.select(*[new[c].alias(c) if c in new else named([c], "row")[0] for c in docs.columns])
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(with_size(docs).select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "position")
+    """Per document: doc_id, size, source_size, target, taken and position, sorted by ranges of position (null, not taken, first).
+
+    Nulls, ties, repeated rows and empty tables: see mix."""
+    rows = place(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["doc_id"])
+    rows = cut(rows.select("doc_id", "size", "source_size", "target", "taken", "position"))
+    return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 ORACLE = """

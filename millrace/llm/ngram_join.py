@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.arrowtext import batches, lean, slices
-from millrace.llm.common import components, cut, lookup, salted, table
+from millrace.llm.common import components, cut, lookup, named, salted, table
 from millrace.llm.textsets import shingles, words
 
 K, PERCENT = 5, 80
@@ -254,10 +254,13 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates the document with the smallest doc_id stays."""
+    """Pipeline stage: of each group of near duplicates the document with the smallest doc_id stays, with all its columns.
+
+    Rows that share that doc_id all stay, and so do those with a null doc_id or without words. An empty table gives no rows."""
     gone = join_documents(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*named(docs.columns))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_shingles, class_id and component_id. Edge cases: see join_documents."""
     return join_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "class_id", "component_id")

@@ -229,9 +229,10 @@ def word_vocabulary() -> str:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: where each piece of each document goes."""
+    """Pipeline stage, the last: where each piece of each document goes. Nulls, repeated rows and empty tables: see pack."""
     return pack(docs, word_vocabulary())
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per piece: where it goes. Columns and edge cases: see pack."""
     return pack(table(spark, sf_dir, "documents"), word_vocabulary())

@@ -415,5 +415,6 @@ def remove_passages(docs: DataFrame) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_words, n_removed, n_spans and kept_md5. Edge cases: see remove_passages."""
     found = remove_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.md5("text").alias("kept_md5"))

@@ -318,6 +318,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256. Edge cases: see find_repeats."""
     found = find_repeats(table(spark, sf_dir, "documents"))
     removed = F.col("n_bytes") - F.octet_length("kept")
     return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

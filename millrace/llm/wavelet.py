@@ -232,4 +232,5 @@ def byte_vocabulary() -> str:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, from the files: doc_id, start, n_tokens and ids_crc32. Edge cases: see token_files."""
     return token_files(table(spark, sf_dir, "documents"), byte_vocabulary())
