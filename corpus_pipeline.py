@@ -15,8 +15,8 @@ STAGES = [
     ("best_fit_packing", packing.stage),
 ]
 
-#: The trained model, the tokenizer and the packing have no twin in SQL. Tests hold the stages' operators against brute force or
-#: exact round trips; of run() they check columns and row counts only.
+#: The trained model, the tokenizer and the packing have no twin in SQL. tests/llm/test_stages.py holds run() against plain Python
+#: from the documents that the classifier keeps on, and the stages on edge cases.
 ORACLE_SQL = None
 
 
