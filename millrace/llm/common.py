@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Bytes of an Arrow batch on its way to Python; the session's setting, if that is lower.
 BATCH_BYTES = 4 << 20
 #: Seconds between two collections of the driver's garbage, and with it of shuffle files.
-COLLECT_S = 8
+COLLECT_S = 4
 #: What separates words: ASCII space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,13 +55,12 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, with its lineage cut; survives the loss of any executor.
 
     Spark deletes shuffle files and checkpoints that no plan needs any more once the driver has collected their plans; this
-    is asked for now and then, so that a long chain of steps does not keep all that it has written."""
+    is asked for now and then, so that a long chain of steps does not keep all that it has written. It is asked for before
+    a step: after it the caller still holds df."""
     shared_dir(df.sparkSession)
-    out = df.checkpoint()
     if time.monotonic() - _collected[0] > COLLECT_S:
-        del df
-        release(out.sparkSession)
-    return out
+        release(df.sparkSession)
+    return df.checkpoint()
 
 
 def release(spark: SparkSession) -> None:

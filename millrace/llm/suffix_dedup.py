@@ -250,6 +250,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     in_batch = F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).cast("int").alias("batch")  # ids of a stride spread too
     known = rows.where("doc_id is not null")
     shared = shared_triggers(known.select("text", in_batch), bits)
+    release(docs.sparkSession)  # the triggers that were dealt out for it
     texts = known.select(in_batch, F.lit(0).alias("kind"), F.col("doc_id").alias("key"), F.encode("text", "UTF-8").alias("data"))
 
     # of equal texts only the first is parsed; the others are told to their batches by name
