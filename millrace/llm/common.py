@@ -70,6 +70,25 @@ def release(spark: SparkSession) -> None:
     _collected[0] = time.monotonic()
 
 
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """df computed once and written as compressed columns in the shared folder, which a checkpoint is not, and where to.
+
+    For tables of many rows that a caller can tell the last use of: it then calls `discard`. Spark takes the size of the
+    files for the size of the rows; joins that must not send such a table to all workers say so by a hint."""
+    spark = df.sparkSession
+    at = shared_path(spark, label)
+    if time.monotonic() - _collected[0] > COLLECT_S:
+        release(spark)
+    df.write.option("compression", "zstd").parquet(at)
+    return spark.read.schema(df.schema).parquet(at), at
+
+
+def discard(spark: SparkSession, at: str) -> None:
+    """Deletes what `stored` has written; nothing may read it any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_size(df: DataFrame, text: str = "text", name: str = "size") -> DataFrame:
     """Adds the number of words of a text; null counts as 0."""
     return df.withColumn(name, F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))

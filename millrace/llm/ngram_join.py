@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.arrowtext import batches, lean, slices
-from millrace.llm.common import components, cut, lookup, named, salted, table
+from millrace.llm.common import components, cut, discard, lookup, named, salted, stored, table
 from millrace.llm.textsets import shingles, words
 
 K, PERCENT = 5, 80
@@ -74,8 +74,8 @@ def signatures(docs: DataFrame, last: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n int, fp string, prefix array<long>")
 
 
-def shared_entries(classes: DataFrame, last: np.ndarray) -> DataFrame:
-    """(s, node, n, rest) of prefix entries whose shingle is in the prefixes of several sets; rest counts the set's shingles from there on.
+def shared_entries(classes: DataFrame, last: np.ndarray) -> tuple[DataFrame, str]:
+    """(s, node, n, rest) of prefix entries whose shingle is in the prefixes of several sets; rest counts the set's shingles from there on; and where they are stored.
 
     Frequent shingles are shared anyway and stay where they are, so that no list of theirs meets in a task."""
     keys = np.sort(last)
@@ -107,7 +107,7 @@ def shared_entries(classes: DataFrame, last: np.ndarray) -> DataFrame:
 
     schema = "s long, node long, n int, rest int"
     rare = entries.mapInArrow(lean(split(False)), schema).repartition(F.col("s")).mapInArrow(lean(shared), schema)
-    return cut(rare.unionByName(entries.mapInArrow(lean(split(True)), schema)))
+    return stored(rare.unionByName(entries.mapInArrow(lean(split(True)), schema)), "entries")
 
 
 def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -165,10 +165,11 @@ def parted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def links(classes: DataFrame, docs: DataFrame, last: np.ndarray) -> DataFrame:
     """(a, b) links that connect exactly what the links of all pairs of classes (node, n, prefix) connect."""
-    entries = shared_entries(classes, last)
+    spark = classes.sparkSession
+    entries, at_entries = shared_entries(classes, last)
     # clusters: each set against the first set of its lists that it shares most with
     firsts = entries.groupBy("s").agg(F.min(F.struct("node", "n")).alias("f")).select("s", F.col("f.node").alias("first"), F.col("f.n").alias("nf"))
-    met = lookup(entries, firsts, "s").where("node != first").groupBy("node", "first").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("nf").alias("nf"))
+    met = lookup(entries, firsts.hint("merge"), "s").where("node != first").groupBy("node", "first").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("nf").alias("nf"))
     alike = (PERCENT * F.col("n") <= 100 * F.col("nf")) & (PERCENT * F.col("nf") <= 100 * F.col("n"))
     # a quarter of the shorter prefix: what misses it here is met as a cluster of its own below
     met = met.where(alike & enough("c", "n", "nf") & (4 * 100 * F.col("c") >= (100 - PERCENT) * F.least("n", "nf")))
@@ -181,11 +182,12 @@ def links(classes: DataFrame, docs: DataFrame, last: np.ndarray) -> DataFrame:
     of = known.join(roots, "node", "full").select("node", F.coalesce("centre", "node").alias("centre"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "node").alias("component"))
     placed = entries.join(of, "node", "left").select("s", "node", "n", "rest", F.coalesce("centre", "node").alias("centre"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "node").alias("component"))
     shared = known.select("centre").distinct().withColumn("alone", F.lit(False))
-    placed = cut(placed.join(shared, "centre", "left").withColumn("alone", F.coalesce("alone", F.col("centre") == F.col("node"))))
+    placed, at_placed = stored(placed.join(shared, "centre", "left").withColumn("alone", F.coalesce("alone", F.col("centre") == F.col("node"))), "placed")
+    discard(spark, at_entries)
     # lists of clusters; only those that meet another component matter
     lists = placed.groupBy("s", "centre", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"), F.min("alone").alias("alone"))
     mixed = lists.groupBy("s").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("s")
-    lists = cut(lists.join(mixed, "s", "left_semi"))
+    lists, at_lists = stored(lists.join(mixed.hint("merge"), "s", "left_semi"), "lists")
     x, y = lists.alias("x"), lists.alias("y")
     may = (
         (F.col("x.centre") < F.col("y.centre"))
@@ -194,9 +196,10 @@ def links(classes: DataFrame, docs: DataFrame, last: np.ndarray) -> DataFrame:
         & (100 * F.col("y.most") >= PERCENT * F.col("x.least"))
     )
     early = 9 * F.least("x.rest", "y.rest") >= 4 * (F.col("x.least") + F.col("y.least"))  # in some list, if the sets link
-    both = x.join(y, (F.col("x.s") == F.col("y.s")) & may)
+    both = x.join(y.hint("merge"), (F.col("x.s") == F.col("y.s")) & may)
     counted = both.groupBy(F.col("x.centre").alias("a"), F.col("y.centre").alias("b")).agg(F.count("*").alias("c"), F.max("x.most").alias("n"), F.max("y.most").alias("m"), F.min(F.col("x.alone") & F.col("y.alone")).alias("alone"), F.max(early).alias("early"))
-    centres = counted.where(F.col("early") & (~F.col("alone") | enough("c", "n", "m"))).select("a", "b")
+    centres = cut(counted.where(F.col("early") & (~F.col("alone") | enough("c", "n", "m"))).select("a", "b"))
+    discard(spark, at_lists)
     told = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "o", "na", "nb")
     fresh = compare(centres.join(told, ["a", "b"], "left_anti"), docs)
     answers = cut(fresh.unionByName(centres.join(told, ["a", "b"]).select("a", "b", "o", "na", "nb")))
@@ -211,14 +214,15 @@ def links(classes: DataFrame, docs: DataFrame, last: np.ndarray) -> DataFrame:
     touched = cut(near.select(F.explode(F.array("a", "b")).alias("centre")).distinct())
     now = now.join(touched, "centre", "left_semi")
     # two sets whose last shared shingles before this one are the same have met in that one's list: this block of places is skipped
-    now = cut(now.withColumn("before", F.lag("s").over(Window.partitionBy("node").orderBy(F.desc("rest")))))
+    now, at_now = stored(now.withColumn("before", F.lag("s").over(Window.partitionBy("node").orderBy(F.desc("rest")))), "now")
+    discard(spark, at_placed)
     # of two near clusters the one with fewer entries goes to the other's lists
     entries_of = cut(now.groupBy("centre").agg(F.count("*").alias("n")))
     for of in ("a", "b"):
-        near = lookup(near, entries_of.withColumnsRenamed({"centre": of, "n": f"n_{of}"}), of)
+        near = lookup(near, entries_of.hint("merge").withColumnsRenamed({"centre": of, "n": f"n_{of}"}), of)
     turned = F.col("n_a") > F.col("n_b")
     near = near.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("centre"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), "gap")
-    left = now.join(cut(near), "centre")
+    left = now.join(cut(near).hint("merge"), "centre")
     u, v = left.alias("u"), now.alias("v")
     on = (
         (F.col("u.s") == F.col("v.s"))
@@ -228,8 +232,10 @@ def links(classes: DataFrame, docs: DataFrame, last: np.ndarray) -> DataFrame:
         & (9 * F.least("u.rest", "v.rest") >= 4 * (F.col("u.n") + F.col("v.n")))
         & ~F.coalesce(F.col("u.before") == F.col("v.before"), F.lit(False))
     )
-    members = u.join(v, on).select(F.least("u.node", "v.node").alias("a"), F.greatest("u.node", "v.node").alias("b")).distinct()
-    return edges.unionByName(compare(members.join(answers.select("a", "b"), ["a", "b"], "left_anti"), docs).where(LINKED).select("a", "b"))
+    members = u.join(v.hint("merge"), on).select(F.least("u.node", "v.node").alias("a"), F.greatest("u.node", "v.node").alias("b")).distinct()
+    more = compare(members.join(answers.select("a", "b"), ["a", "b"], "left_anti"), docs)
+    discard(spark, at_now)
+    return edges.unionByName(more.where(LINKED).select("a", "b"))
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
