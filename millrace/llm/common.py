@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 #: Seconds between two collections of the driver's garbage, and with it of shuffle files.
 COLLECT_S = 4
+#: Seconds in which the JVM hears of what Python has collected, by a thread of the bridge's own; its collection must come after that.
+TOLD_S = 0.3
 #: What separates words: ASCII space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -66,6 +68,8 @@ def cut(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Lets Spark delete what it has written for plans that nothing refers to any more."""
     gc.collect()
+    time.sleep(TOLD_S)
+    spark.range(1).count()  # threads that ran the last job refer to it until they run another
     spark.sparkContext._jvm.System.gc()
     _collected[0] = time.monotonic()
 
