@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.arrowtext import lean, slices, trim
-from millrace.llm.common import cut, lookup, release, table
+from millrace.llm.common import cut, lookup, release, stored, table
 from millrace.llm.textsets import mix, powers
 
 WIDTH, TRIGGER = 50, 24
@@ -70,6 +70,15 @@ def from_planes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def squeezed(data: bytes) -> bytes:
+    """Contexts overlap and repeat words: made smaller than the shuffle's own compression would."""
+    return len(data).to_bytes(4, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[4:], int.from_bytes(data[:4], "little"), asbytes=True)
+
+
 SHARED = "batch int, kind int, key long, data binary"
 NAMES = ["batch", "kind", "key", "data"]
 
@@ -146,7 +155,7 @@ def shared_triggers(docs: DataFrame, bits: int) -> DataFrame:
         rows = [(int(of[a]), 1, shard, planes(low[a:b] << np.uint64(1) | hot[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return rows_of(rows, NAMES, KINDS)
 
-    return cut(docs.mapInArrow(lean(send), "shard int, data binary").groupBy("shard").applyInArrow(meet, SHARED))
+    return stored(docs.mapInArrow(lean(send), "shard int, data binary").groupBy("shard").applyInArrow(meet, SHARED), "triggers")[0]
 
 
 class Batch:
@@ -259,18 +268,19 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     copies = lookup(digests, cut(firsts), "digest").where("doc_id > first").select("doc_id", "digest").distinct()
     named = cut(copies.select(in_batch, F.lit(3).alias("kind"), F.col("doc_id").alias("key"), F.unhex("digest").alias("data")))
     shared = shared.unionByName(named)
+    release(docs.sparkSession)
 
     def contexts(t: pa.Table) -> pa.Table:
         of = t["batch"][0].as_py()
         batch = Batch(t, bits)
-        out = [(s, of, batch.rows[at].tobytes(), planes(batch.least[at])) for s, at in batch.in_shards()]
+        out = [(s, of, squeezed(batch.rows[at].tobytes()), planes(batch.least[at])) for s, at in batch.in_shards()]
         del batch
         trim()
         return rows_of(out, ["shard", "batch", "rows", "least"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
     def judge(key, t):
         shard = key[0].as_py()
-        parts = [np.frombuffer(x, np.uint8).reshape(-1, CONTEXT + 1) for x in t["rows"].to_pylist()]
+        parts = [np.frombuffer(unsqueezed(x), np.uint8).reshape(-1, CONTEXT + 1) for x in t["rows"].to_pylist()]
         least = [from_planes(x, np.int64) for x in t["least"].to_pylist()]
         masks = sort_suffixes(np.concatenate(parts), np.concatenate(least))
         ends = np.cumsum([len(p) for p in parts])
@@ -279,7 +289,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
         return rows_of(out, NAMES, KINDS)
 
     sent = texts.unionByName(shared).groupBy("batch").applyInArrow(contexts, "shard int, batch int, rows binary, least binary")
-    judged = cut(sent.groupBy("shard").applyInArrow(judge, SHARED))
+    judged = stored(sent.groupBy("shard").applyInArrow(judge, SHARED), "verdicts")[0]
     del sent
     release(docs.sparkSession)  # the texts and contexts that were dealt out for it
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
