@@ -70,6 +70,13 @@ def from_planes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def strings(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The `width` bytes from each place on as rows, zeros after the end; each is copied as one item."""
+    padded = np.concatenate([data, np.zeros(width, np.uint8)])
+    every = np.ndarray(len(data) + 1, f"V{width}", padded, strides=(1,))
+    return every[at].view(np.uint8).reshape(len(at), width)
+
+
 def squeezed(data: bytes) -> bytes:
     """Contexts overlap and repeat words: made smaller than the shuffle's own compression would."""
     return len(data).to_bytes(4, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
@@ -197,10 +204,10 @@ class Batch:
         n_cold = int((~single).sum())
         number = np.concatenate([number[~single], np.ones(len(spread), np.int64)])
         rows = np.zeros((len(first), CONTEXT + 1), np.uint8)
+        found = strings(data, first, CONTEXT)
         for lo in range(0, len(first), 8_000):
-            where = first[lo : lo + 8_000, None] + np.arange(CONTEXT)
             held = np.arange(CONTEXT) < number[lo : lo + 8_000, None] + WIDTH - 1
-            rows[lo : lo + 8_000, :CONTEXT] = np.where(held, data[np.minimum(where, len(data) - 1)], 0)
+            rows[lo : lo + 8_000, :CONTEXT] = found[lo : lo + 8_000] * held
         rows[:, CONTEXT] = number
         shard = np.zeros(len(first), np.int64)
         shard[:n_cold] = h[~single] >> np.uint64(64 - bits)
@@ -231,10 +238,8 @@ def sort_suffixes(rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
     number = rows[:, CONTEXT].astype(np.int64)
     context = np.repeat(np.arange(len(rows)), number)
     start = np.arange(len(context)) - np.repeat(np.cumsum(number) - number, number)
-    words = np.zeros((len(context), -(-WIDTH // 8) * 8), np.uint8)
-    for lo in range(0, len(context), 50_000):
-        c, s = context[lo : lo + 50_000], start[lo : lo + 50_000]
-        words[lo : lo + 50_000, :WIDTH] = rows[c[:, None], s[:, None] + np.arange(WIDTH)]
+    words = strings(rows.ravel(), context * (CONTEXT + 1) + start, -(-WIDTH // 8) * 8)
+    words[:, WIDTH:] = 0
     keys = words.view(">u8").astype(np.uint64)
     order = np.lexsort(tuple(keys[:, k] for k in range(keys.shape[1] - 1, -1, -1)))
     new = np.concatenate([[True], (keys[order[1:]] != keys[order[:-1]]).any(1)])
