@@ -150,7 +150,7 @@ def S_session(spark, sf_dir):
     """Session windows of a stream; appended are those that the watermark has passed."""
     e = events(spark, sf_dir).select("user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "10 minutes")
     w = e.groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
-    return core.to_memory(w.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n"))
+    return core.to_storage(w.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n"))
 
 
 @R.query("select range as id, 's' || range % 5 as stationId from range(0, 200)")

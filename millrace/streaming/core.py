@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: Options of a file stream (fixed values).
 FILE_OPTIONS = {"maxFilesPerTrigger", "latestFirst", "maxFileAge", "fileNameOnly", "maxBytesPerTrigger", "pathGlobFilter", "cleanSource"}
@@ -81,6 +81,34 @@ def to_memory(df: DataFrame, mode: str = "append", name: str | None = None, trig
     return spark.table(name)
 
 
+def to_storage(df: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there and returns what it has written, from files in the session's shared storage.
+
+    For results of any size: no row of theirs comes to the driver. In complete mode they are the last batch's, in no order. State
+    is kept by RocksDB, outside the executors' heaps."""
+    spark = df.sparkSession
+    at, kind = checkpoint_folder(spark), "spark.sql.streaming.stateStore.providerClass"
+    columns = StructType([StructField(f.name, f.dataType) for f in df.schema])  # without a watermark's metadata
+    before, last = spark.conf.get(kind, None), []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/batch={number}")
+        last[:] = [f"{at}/batch={number}"]
+
+    spark.conf.set(kind, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        if mode == "append":
+            to_files(df, at, checkpoint_folder(spark)).awaitTermination()
+        else:
+            df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint_folder(spark)).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(kind, before) if before is not None else spark.conf.unset(kind)
+    if mode == "append":
+        return spark.read.schema(columns).parquet(at)
+    paths = last if mode == "complete" else [f"{at}/*"] if last else []
+    return spark.read.schema(columns).parquet(*paths) if paths else spark.createDataFrame([], columns)
+
+
 def to_console(df: DataFrame, rows: int = 20) -> int:
     """Runs a stream over all that is there, shows some rows of each batch, and returns how many it has read."""
     query = df.writeStream.format("console").option("numRows", rows).option("truncate", True).option("checkpointLocation", checkpoint_folder(df.sparkSession)).trigger(availableNow=True).start()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from millrace.plans import catalog
 from millrace.streaming import core, stateful
 from millrace.streaming.replay import Replay
 
@@ -99,3 +100,27 @@ def test_socket_replay(spark, tmp_path):
         finally:
             query.stop()
     assert sorted(r[0] for r in spark.table("replayed").collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("name", ["S_session"])
+def test_large_results_stay_out_of_the_driver(name, spark, sf_dir):
+    out = catalog.QUERIES[name](spark, sf_dir)
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert out.inputFiles() and all(shared in f for f in out.inputFiles()) and out.count()
+
+
+@pytest.mark.parametrize("mode, want", [("append", {("a", 3), ("b", 1)}), ("complete", {("a", 3), ("b", 1)}), ("update", {("a", 1), ("a", 3), ("b", 1)})])
+def test_storage_holds_what_each_mode_writes(mode, want, spark, tmp_path):
+    kind = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(kind)
+    path = folder(spark, tmp_path, [[at(0, 1)], [at(1, 1), at(2, 1), at(3, 1, "b")], [at(500, 1, "c")]] if mode == "append" else [[at(0, 1)], [at(1, 1), at(2, 1), at(3, 1, "b")]], SCHEMA)
+    rows = core.files(spark, path, SCHEMA, maxFilesPerTrigger=1)
+    if mode == "append":
+        counts = core.tumbling(rows, "ts", "1 hour", ["key"], watermark="5 minutes").select("key", "n")
+    else:
+        counts = rows.groupBy("key").agg(F.count("*").alias("n"))
+    assert set(map(tuple, core.to_storage(counts, mode).collect())) == want
+    assert spark.conf.get(kind) == before
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert core.to_storage(core.files(spark, str(empty), SCHEMA), "append" if mode == "append" else "update").count() == 0
