@@ -73,7 +73,7 @@ def S_count_window_map(spark, sf_dir):
 def S_dedup(spark, sf_dir):
     """Every event twice, and once again after deduplication."""
     e = events(spark, sf_dir).select("event_id", "user_id", "ts")
-    return core.to_memory(core.deduplicate(e.union(e), ["event_id"], "ts", "1 hour").select("event_id", "user_id"))
+    return core.to_storage(core.deduplicate(e.union(e), ["event_id"], "ts", "1 hour").select("event_id", "user_id"))
 
 
 @R.query("select e.event_id, round(e.value * (p.p_retailprice - p.p_size) + p.p_size, 6) as reading from events e join part p on e.user_id = p.p_partkey")
