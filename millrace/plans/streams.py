@@ -18,7 +18,7 @@ def events(spark, sf_dir, **options):
 
 @R.query("select event_id, user_id, value from events")
 def S_file_source(spark, sf_dir):
-    return core.to_memory(events(spark, sf_dir, maxFilesPerTrigger=1).select("event_id", "user_id", "value"))
+    return core.to_storage(events(spark, sf_dir, maxFilesPerTrigger=1).select("event_id", "user_id", "value"))
 
 
 @R.query("select time_bucket(interval 5 minute, ts) as start, event_type, count(*) as n from events group by all")
