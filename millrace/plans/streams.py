@@ -79,7 +79,7 @@ def S_dedup(spark, sf_dir):
 @R.query("select e.event_id, round(e.value * (p.p_retailprice - p.p_size) + p.p_size, 6) as reading from events e join part p on e.user_id = p.p_partkey")
 def S_stream_static_join(spark, sf_dir):
     sensors = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("user_id"), F.col("p_size").cast("double").alias("minRange"), F.col("p_retailprice").alias("maxRange"))
-    out = core.to_memory(core.denormalise(events(spark, sf_dir), sensors, "user_id").select("event_id", "value"))
+    out = core.to_storage(core.denormalise(events(spark, sf_dir), sensors, "user_id").select("event_id", "value"))
     return out.select("event_id", F.round("value", 6).alias("reading"))
 
 

@@ -102,7 +102,7 @@ def test_socket_replay(spark, tmp_path):
     assert sorted(r[0] for r in spark.table("replayed").collect()) == [1, 2]
 
 
-@pytest.mark.parametrize("name", ["S_file_source", "S_dedup", "S_session"])
+@pytest.mark.parametrize("name", ["S_file_source", "S_stream_static_join", "S_dedup", "S_session"])
 def test_large_results_stay_out_of_the_driver(name, spark, sf_dir):
     out = catalog.QUERIES[name](spark, sf_dir)
     shared = spark.conf.get("spark.checkpoint.dir")
