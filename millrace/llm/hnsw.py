@@ -20,8 +20,12 @@ from millrace.llm.embedding_dedup import usable
 
 #: Vectors in a shard; neighbours kept on upper layers (twice that on the lowest); breadth of the search when building and asking.
 SHARD, LINKS, BUILD, BREADTH = 8192, 14, 56, 140
-#: Queries that meet a copy of a shard's graph at once.
-BLOCK = 8192
+#: Queries that meet a copy of a shard's graph at once; of these, so many walk it in step, each from its WIDE best nodes at a time.
+BLOCK, STEP, WIDE = 8192, 512, 8
+#: Nodes are inserted in step too, at most STEP_BUILD and no more than a tenth of those that are there; each also meets MATES of its step.
+STEP_BUILD, MATES = 256, 16
+#: Tasks that groups are dealt over, at most: a group is little data and much work, which must not be coalesced.
+TASKS = 2000
 
 
 class Graph:
@@ -54,8 +58,17 @@ class Graph:
         self.mark = 0
         self.entry = -1
         self.top = 0
-        for v in rng.permutation(n).tolist():
-            self._insert(v, int(levels[v]), links, build)
+        order, done = rng.permutation(n), 0
+        while done < n:
+            batch = order[done : done + max(1, min(STEP_BUILD, done // 10))]
+            higher = np.flatnonzero(levels[batch] > self.top)
+            if self.entry < 0 or len(higher) and higher[0] == 0:  # a new top goes alone
+                batch = batch[:1]
+                self._insert(int(batch[0]), int(levels[batch[0]]), links, build)
+            else:
+                batch = batch[: higher[0]] if len(higher) else batch
+                self._insert_all(batch, levels[batch], links, build)
+            done += len(batch)
 
     def _walk(self, q: np.ndarray, start: list[int], layer: int, breadth: int) -> list[tuple[float, int]]:
         """The nearest nodes found on a layer: (minus the product, node), best first."""
@@ -90,6 +103,81 @@ class Graph:
                 heapq.heappush(todo, (-p, u))
         return sorted((-p, v) for p, v in best)
 
+    def _walks(self, q: np.ndarray, start: np.ndarray, layer: int, breadth: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of q what _walk finds from its row of start: (products, nodes), best first, -inf and -1 beyond the last."""
+        x, near, rows = self.x, self.near[layer], self.rows[layer]
+        m, n, cap = len(q), len(x), self.near[layer].shape[1]
+        seen, place = np.zeros(m * n, bool), np.zeros(m * n, np.int32)
+        best, found = np.full((m, breadth), -np.inf, np.float32), np.full((m, breadth), -1, np.int32)
+        todo = np.zeros((m, breadth), bool)
+        wide = min(WIDE, breadth)
+
+        def meet(of: np.ndarray, nodes: np.ndarray) -> None:
+            """Each of nodes to the row beside it, rows in order."""
+            key = of * n + nodes
+            place[key] = np.arange(len(key), dtype=np.int32)
+            new = ~seen[key] & (place[key] == np.arange(len(key), dtype=np.int32))  # each once
+            of, nodes, key = of[new], nodes[new], key[new]
+            seen[key] = True
+            products = np.einsum("ij,ij->i", x[nodes], q[of])
+            better = products > best[of, -1]
+            of, nodes, products = of[better], nodes[better], products[better]
+            if not len(of):
+                return
+            hit, first, count = np.unique(of, return_index=True, return_counts=True)
+            at = np.repeat(np.arange(len(hit)), count)
+            column = breadth + np.arange(len(of)) - first[at]
+            size = breadth + int(count.max())
+            p, u, t = np.full((len(hit), size), -np.inf, np.float32), np.full((len(hit), size), -1, np.int32), np.zeros((len(hit), size), bool)
+            p[:, :breadth], u[:, :breadth], t[:, :breadth] = best[hit], found[hit], todo[hit]
+            p[at, column], u[at, column], t[at, column] = products, nodes, True
+            top = np.argsort(-p, 1)[:, :breadth]
+            best[hit], found[hit], todo[hit] = (np.take_along_axis(y, top, 1) for y in (p, u, t))
+
+        meet(np.repeat(np.arange(m), start.shape[1])[start.ravel() >= 0], start.ravel()[start.ravel() >= 0].astype(np.int64))
+        while True:
+            ahead = todo & (np.cumsum(todo, 1) <= wide)  # rows are in order, so these are the best
+            of, column = np.nonzero(ahead)
+            if not len(of):
+                return best, found
+            todo[of, column] = False
+            nodes = near[rows[found[of, column]]]
+            there = nodes.ravel() >= 0
+            meet(np.repeat(of, cap)[there], nodes.ravel()[there].astype(np.int64))
+
+    def _insert_all(self, batch: np.ndarray, levels: np.ndarray, links: int, build: int) -> None:
+        """Nodes whose levels are not above the top, in step: each meets the graph as it is, and the nearest of its own step."""
+        q, start = self.x[batch], np.full((len(batch), 1), self.entry, np.int64)
+        chosen = []
+        for layer in range(self.top, -1, -1):
+            goes, there = np.flatnonzero(levels < layer), np.flatnonzero(levels >= layer)
+            after = np.full((len(batch), build), -1, np.int64)
+            if len(goes):
+                after[goes, :1] = self._walks(q[goes], start[goes], layer, 1)[1]
+            if len(there):
+                products, nodes = self._walks(q[there], start[there], layer, build)
+                after[there] = nodes
+                mates = q[there] @ q[there].T
+                np.fill_diagonal(mates, -np.inf)
+                top = np.argsort(-mates, 1)[:, : min(MATES, len(there) - 1)]
+                p = np.hstack([products, np.take_along_axis(mates, top, 1)])
+                u = np.hstack([nodes, batch[there][top]])
+                order = np.argsort(-p, 1, kind="stable")
+                p, u = np.take_along_axis(p, order, 1), np.take_along_axis(u, order, 1)
+                for v, a, b in zip(batch[there].tolist(), p, u, strict=True):
+                    chosen.append((v, layer, self._spread(v, b[a > -np.inf].tolist(), links)))
+            start = after
+        own = set(batch.tolist())
+        for v, layer, others in chosen:
+            for u in others:
+                if u not in own:
+                    self._link(v, u, layer)
+                    self._link(u, v, layer)
+                    continue
+                for a, b in ((u, v), (v, u)):  # mates may have chosen each other
+                    if b not in self.near[layer][self.rows[layer][a]]:
+                        self._link(a, b, layer)
+
     def _spread(self, v: int, found: list[int], most: int) -> list[int]:
         """Of the nodes found, nearest first: those nearer to v than to any kept before; filled up with the nearest others."""
         if len(found) <= most:
@@ -140,17 +228,24 @@ class Graph:
 
     def search(self, query: np.ndarray, k: int, breadth: int = BREADTH) -> list[tuple[float, int]]:
         """(product in double precision, id) of the k best found, ties to the smaller id; equal vectors count each."""
-        q = np.append(query, 0).astype(np.float32)
-        start = [self.entry]
-        for layer in range(self.top, 0, -1):
-            start = [self._walk(q, start, layer, 1)[0][1]]
-        nodes = [v for _, v in self._walk(q, start, 0, max(breadth, k))]
-        exact = self.vectors[nodes].astype(np.float64) @ query.astype(np.float64)
-        out = []
-        for v, score in zip(nodes, exact.tolist(), strict=True):
-            ids = self.ids[self.ends[v - 1] if v else 0 : self.ends[v]][:k]
-            out += [(score, i) for i in ids.tolist()]
-        return heapq.nsmallest(k, out, key=lambda x: (-x[0], x[1]))
+        return next(self.search_all(query[None, :], [k], breadth))
+
+    def search_all(self, queries: np.ndarray, ks: list[int], breadth: int = BREADTH):
+        """What search finds for each of the queries, each with its own k."""
+        for lo in range(0, len(queries), STEP):
+            part, most = queries[lo : lo + STEP], ks[lo : lo + STEP]
+            q = np.hstack([part, np.zeros((len(part), 1))]).astype(np.float32)
+            start = np.full((len(part), 1), self.entry, np.int64)
+            for layer in range(self.top, 0, -1):
+                start = self._walks(q, start, layer, 1)[1]
+            for query, nodes, k in zip(part, self._walks(q, start, 0, max(breadth, *most))[1], most, strict=True):
+                nodes = nodes[nodes >= 0]
+                exact = self.vectors[nodes].astype(np.float64) @ query.astype(np.float64)
+                out = []
+                for v, score in zip(nodes.tolist(), exact.tolist(), strict=True):
+                    ids = self.ids[self.ends[v - 1] if v else 0 : self.ends[v]][:k]
+                    out += [(score, i) for i in ids.tolist()]
+                yield heapq.nsmallest(k, out, key=lambda x: (-x[0], x[1]))
 
     def to_bytes(self) -> bytes:
         return pickle.dumps({k: v for k, v in self.__dict__.items() if k != "seen"}, protocol=5)
@@ -172,6 +267,7 @@ def build(vectors: DataFrame, shards: int) -> DataFrame:
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([Graph(t["vec_id"].to_numpy(), x).to_bytes()], pa.binary())], names=["shard", "graph"])
 
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    dealt = dealt.repartition(min(4 * shards, TASKS), "shard")
     return cut(dealt.groupBy("shard").applyInArrow(of_shard, "shard int, graph binary"))
 
 
@@ -189,10 +285,15 @@ def nearest(queries: DataFrame, graphs: DataFrame, shards: int, k: int = 20, bre
         if left.num_rows and right.num_rows:
             graph = Graph.from_bytes(right["graph"][0].as_py())
             x = left["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(left.num_rows, -1)
-            for query_id, q in zip(left["vec_id"].to_pylist(), x, strict=True):
-                rows += [(query_id, i, s) for s, i in graph.search(q, k + int((graph.ids == query_id).sum()), breadth) if i != query_id][:k]
+            asking = left["vec_id"].to_numpy()
+            ids = np.sort(graph.ids)
+            own = np.searchsorted(ids, asking, "right") - np.searchsorted(ids, asking, "left")
+            for query_id, found in zip(asking.tolist(), graph.search_all(x, (k + own).tolist(), breadth), strict=True):
+                rows += [(query_id, i, s) for s, i in found if i != query_id][:k]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [(), (), ()], (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
+    tasks = min(4 * shards * blocks, TASKS)
+    asked, copies = (x.repartition(tasks, "shard", "block") for x in (asked, copies))
     found = asked.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInArrow(ask, "query_id long, vec_id long, score double")
     return best_of(found, k)
 

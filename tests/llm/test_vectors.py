@@ -121,3 +121,26 @@ def test_planted_links_over_tiles(spark):
     assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
     assert found[2600:3000].sum() >= 0.99 * want[2600:3000].sum()
     assert len({got[int(i)]["component_id"] for i in ids[:2600]}) == 1
+
+
+def test_graphs_are_walked_in_step():
+    """Queries that walk a graph together find what brute force finds, copies and an own k each included; built in step too."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 24)).astype(np.float32)
+    x[1400:] = x[:100]
+    ids = np.arange(1500)[::-1] * 3
+    graph = hnsw.Graph(ids, x)
+    for layer, near in enumerate(graph.near):
+        nodes = np.flatnonzero(graph.rows[layer] >= 0)
+        for v in nodes.tolist():
+            held = near[graph.rows[layer][v]][: graph.used[layer][graph.rows[layer][v]]].tolist()
+            assert len(set(held)) == len(held) and v not in held and min(held, default=0) >= 0 and set(held) <= set(nodes.tolist())
+    ks = [5 + i % 3 for i in range(600)]
+    got = list(graph.search_all(x[:600], ks))
+    hit = n = 0
+    for q, k, found in zip(x[:600].astype(float), ks, got, strict=True):
+        best = sorted(zip(-(x.astype(float) @ q), ids.tolist(), strict=True))[:k]
+        assert len(found) == k and found == sorted(found, key=lambda r: (-r[0], r[1]))
+        hit += len({i for _, i in best} & {i for _, i in found})
+        n += k
+    assert hit / n >= 0.97 and got[7] == graph.search(x[7], ks[7])
