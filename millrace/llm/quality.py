@@ -7,10 +7,12 @@ pass adds up the probabilities of each document's n-grams."""
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,9 +23,9 @@ from millrace.llm.textsets import STEPS, mix
 ORDER = 5
 #: Stands before a text, as often as a context is long.
 START = "\2"
-#: At most so many labelled documents are trusted, those with the smallest hashes; trusted is quality 1 and not toxic.
-#: One in HELD of them is held out of the training; its perplexities give the thresholds.
-MAX_TRUSTED, HELD = 200_000, 5
+#: Every labelled document of quality 1 that is not toxic is trusted. One in HELD of them is held out of the training; its
+#: perplexities give the thresholds. Up to JOINED ids of trusted documents go to all executors; more meet the texts in a shuffle.
+HELD, JOINED = 5, 200_000
 #: Documents beyond these quantiles of their language's held-out documents are rejected: noise above, endless repetition below.
 #: Languages with fewer than MIN_HELD held-out documents use the quantiles of all.
 LOW, HIGH, MIN_HELD = 0.001, 0.999, 200
@@ -251,7 +253,7 @@ def asked(it):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), b)), pa.array(found.view(np.int64))], names=["_batch", "key"])
 
 
-def classify(docs: DataFrame, labels: DataFrame, columns: list[str], low: float = LOW, high: float = HIGH, sent: int = SENT) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, columns: list[str], low: float = LOW, high: float = HIGH, sent: int = SENT, joined: int = JOINED) -> DataFrame:
     """columns of docs with n_symbols, perplexity, lowest, highest and kept.
 
     Documents are kept if their perplexity is between the limits of their language, included. Null or empty texts have no
@@ -259,27 +261,45 @@ def classify(docs: DataFrame, labels: DataFrame, columns: list[str], low: float
     everything is kept. Repeated rows are scored alike; an empty table gives no rows; texts are scored whole, however long.
     Columns named like the added ones are replaced; all others, whatever their names, are carried along."""
     new = ["n_symbols", "perplexity", "lowest", "highest", "kept"]
-    judged = judge(docs, labels, low, high, sent)
+    judged = judge(docs, labels, low, high, sent, joined)
     return judged.select(*named([c for c in columns if c not in new], "row"), *new)
 
 
-def judge(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, sent: int = SENT) -> DataFrame:
+def quantiles(values: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """(lang, n, a column for each of shares): exact quantiles of perplexity per lang, interpolated as by percentile.
+
+    Values are counted by narrow ranges; only the ranges that hold a wanted rank are sorted, each for itself."""
+    ranged = values.select("lang", "perplexity", F.floor(F.log2("perplexity") * 64).alias("range"))
+    before = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("lang", "range").agg(F.count("*").alias("size"))  # some hundred rows a language
+    sizes = sizes.withColumns({"before": F.coalesce(F.sum("size").over(before), F.lit(0)), "n": F.sum("size").over(Window.partitionBy("lang"))})
+    place = {c: (F.col("n") - 1) * F.lit(q) for c, q in shares.items()}
+    ranks = {(c, f.__name__): f(x) for c, x in place.items() for f in (F.floor, F.ceil)}
+    wanted = reduce(or_, [(F.col("before") <= r) & (r < F.col("before") + F.col("size")) for r in ranks.values()])
+    met = ranged.withColumnsRenamed({"lang": "l", "range": "r"}).join(F.broadcast(cut(sizes.where(wanted))), F.col("l").eqNullSafe(F.col("lang")) & (F.col("r") == F.col("range")))
+    met = met.withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("lang", "range").orderBy("perplexity")) - 1)
+    held = {c: [F.max(F.when(F.col("rank") == ranks[c, f], F.col("perplexity"))) for f in ("floor", "ceil")] for c in shares}
+    share = {c: F.max(x - F.floor(x)) for c, x in place.items()}
+    return met.groupBy("lang").agg(F.max("n").alias("n"), *[((1 - share[c]) * a + share[c] * b).alias(c) for c, (a, b) in held.items()])
+
+
+def judge(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, sent: int = SENT, joined: int = JOINED) -> DataFrame:
     """row (all columns of docs), n_symbols, perplexity, lowest, highest and kept; see classify."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct()
     fold = F.when(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(HELD)) == 0, 2).otherwise(1)
-    sample = cut(good.orderBy(F.xxhash64("id"), "id").limit(MAX_TRUSTED).withColumn("fold", fold))
+    trusted = cut(good.withColumn("fold", fold))
     base = packed(docs, docs.columns, F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    marked = base.join(F.broadcast(sample), "id", "left")  # MAX_TRUSTED rows at most
+    marked = base.join(F.broadcast(trusted) if trusted.count() <= joined else trusted, "id", "left")
     grams = kneser_ney(cut(gather(marked.select("text", F.coalesce("fold", F.lit(0)).alias("fold")))))
     held = cut(scored(marked.where("fold = 2").select("lang", "text"), grams, sent).drop("text").where("n_symbols > 0"))
     mean = held.agg(F.sum("bits") / F.sum("n_symbols")).first()[0] or 0.0
     perplexity = F.pow(F.lit(2.0), (F.col("bits") + PRIOR * mean) / (F.col("n_symbols") + PRIOR))
     held = held.withColumn("perplexity", perplexity)
-    limits = [F.percentile("perplexity", F.lit(q)).alias(c) for q, c in ((low, "lowest"), (high, "highest"))]
-    by_lang = held.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"), *limits).where(F.col("n") >= MIN_HELD).drop("n")  # MAX_TRUSTED / MIN_HELD languages at most
-    every = held.agg(*limits).first()
+    limits = cut(quantiles(held.select("lang", "perplexity").where("lang is not null").unionByName(held.select(F.lit(None).cast("string").alias("lang"), "perplexity")), {"lowest": low, "highest": high}))
+    by_lang = limits.where(F.col("lang").isNotNull() & (F.col("n") >= MIN_HELD)).drop("n")
+    every = limits.where("lang is null").select("lowest", "highest").first() or (None, None)
     out = scored(base.select("row", "lang", "text"), grams, sent).drop("text").withColumn("perplexity", perplexity)
-    out = out.join(F.broadcast(cut(by_lang)), "lang", "left")
+    out = out.join(F.broadcast(by_lang), "lang", "left")  # a row per language of MIN_HELD held-out documents
     out = out.withColumn("lowest", F.coalesce("lowest", F.lit(every[0] or 0.0))).withColumn("highest", F.coalesce("highest", F.lit(math.inf if every[1] is None else every[1])))
     return out.withColumn("kept", (F.col("n_symbols") == 0) | F.col("perplexity").between(F.col("lowest"), F.col("highest")))
 

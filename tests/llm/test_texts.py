@@ -230,3 +230,23 @@ def test_classifier_keeps_what_it_cannot_judge(spark, odd_docs, no_docs):
 @pytest.mark.parametrize("run", [ngram_join.join_documents, suffix_dedup.find_repeats, paragraph_dedup.remove_passages])
 def test_nothing_in_nothing_out(run, no_docs):
     assert run(no_docs).count() == 0
+
+
+def test_every_trusted_document_counts(spark, sf_dir):
+    """More trusted documents than go to all executors: they still all train the model and give the thresholds."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    columns = ["doc_id", "n_symbols", "perplexity", "lowest", "highest", "kept"]
+    sent, shuffled = (sorted((r[0], r[1], *(round(x, 6) for x in r[2:5]), r[5]) for r in quality.classify(docs, labels, ["doc_id"], joined=n).select(columns).collect()) for n in (10**6, 10))
+    assert sent == shuffled and not hasattr(quality, "MAX_TRUSTED")
+
+
+def test_quantiles_are_those_of_all_values(spark):
+    rng = np.random.default_rng(5)
+    values = [(lang, float(x)) for lang, n in (("a", 5000), ("b", 3), (None, 700), ("c", 1)) for x in np.round(np.exp(rng.normal(size=n)), 2) + 0.01]
+    df = spark.createDataFrame(values, "lang string, perplexity double").repartition(5)
+    got = {r["lang"]: r for r in quality.quantiles(df, {"low": 0.001, "mid": 0.5, "high": 0.999, "last": 1.0}).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for lang, r in got.items():
+        mine = [x for k, x in values if k == lang]
+        assert r["n"] == len(mine) and np.allclose([r["low"], r["mid"], r["high"], r["last"]], np.quantile(mine, [0.001, 0.5, 0.999, 1.0]), rtol=1e-12)
