@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.arrowtext import batches, lean, slices
-from millrace.llm.common import components, cut, lookup, shared_path, table
+from millrace.llm.common import components, cut, discard, lookup, stored, table
 from millrace.llm.textsets import STEPS, mix, powers, shingles, words
 
 K, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.999, 32
@@ -189,22 +189,16 @@ def rows_of_phrases(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(lean(run), "doc_id long, g long, p long, windows array<long>")
 
 
-def kept_rows(rows: DataFrame, label: str) -> DataFrame:
-    """rows, computed once and kept in the shared folder by columns."""
-    at = shared_path(rows.sparkSession, label)
-    rows.write.option("compression", "zstd").parquet(at)
-    return rows.sparkSession.read.schema(rows.schema).parquet(at)
-
-
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, p, w): the phrases of each document that an earlier one has too, as p, and such single windows of others, as w.
 
     Equal windows have the same least gram; a gram of one document needs nothing more. Of the documents with one phrase the
     first speaks for its windows, and only where its gram has other phrases too: there windows are compared one by one."""
-    grams = kept_rows(rows_of_grams(docs), "grams")
+    grams, at = stored(rows_of_grams(docs), "grams")
     firsts = cut(grams.groupBy("g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("_n")).where("least < most").select("g", "_n"))
     own = lookup(grams, firsts, "g", sized=True).groupBy("doc_id").agg(F.collect_set("g").alias("shared"))  # a document's own
-    rows = kept_rows(rows_of_phrases(docs.join(own, "doc_id")), "phrases")
+    rows, _ = stored(rows_of_phrases(docs.join(own, "doc_id")), "phrases")
+    discard(docs.sparkSession, at)  # the last that reads grams
     classes = cut(rows.groupBy("p").agg(F.first("g").alias("g"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("_n"), F.first("windows").alias("windows")))
     again = classes.where("first < last").select("p", "first", "_n")
     whole = lookup(rows.select("doc_id", "p"), again, "p", sized=True).where("doc_id > first").select("doc_id", "p", F.lit(None).cast("long").alias("w"))
@@ -336,7 +330,7 @@ def line_links(lines: DataFrame, docs: DataFrame) -> DataFrame:
 def repeated_units(docs: DataFrame) -> DataFrame:
     """(doc_id, p, w, l): hashes of phrases, windows and lines of each document that one of smaller doc_id has too, or nearly for lines."""
     again = repeated_windows(docs)
-    lines = cut(rows_of_lines(docs))
+    lines, _ = stored(rows_of_lines(docs), "lines")
     classes = cut(lines.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("_n")))
     roots = components(line_links(lines.select("h", "bands"), docs)).withColumnRenamed("node", "h")
     of = cut(classes.join(roots, "h", "left").withColumn("component", F.coalesce("component", "h")))
@@ -361,7 +355,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     if copies.count() <= SENT:
         known = there.join(F.broadcast(copies), ["doc_id", "digest"], "left_anti").select("doc_id", "text")
     else:  # the texts move once, not in each pass
-        known = kept_rows(there.join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", "text"), "texts")
+        known, _ = stored(there.join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", "text"), "texts")
     none = F.lit(None).cast("long")
     units = repeated_units(known).withColumn("d", F.lit(None).cast("string")).unionByName(copies.select("doc_id", none.alias("p"), none.alias("w"), none.alias("l"), F.col("digest").alias("d")))
     of = units.groupBy("doc_id").agg(F.collect_list("p").alias("phrases"), F.collect_list("w").alias("windows"), F.collect_list("l").alias("lines"), F.collect_list("d").alias("copies"))  # a document's own units

@@ -1,6 +1,7 @@
 """Removal of repeated passages against brute force."""
 
 import random
+from pathlib import Path
 
 import pytest
 
@@ -148,3 +149,15 @@ def test_a_bucket_in_many_tiles(spark, monkeypatch):
     whole = found()
     monkeypatch.setattr(paragraph_dedup, "TILE", 1000)
     assert found() == whole and len(set(whole)) > 40
+
+
+def test_grams_go_after_their_last_use(spark):
+    """The table of grams, the largest that op8 writes, is deleted before the texts are cut; the rest of the lists is compressed."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    passage = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, f"start{i} {passage} end{i}") for i in range(4)], "doc_id long, text string")
+    before = set(shared.iterdir())
+    got = {r["doc_id"]: r["n_removed"] for r in paragraph_dedup.remove_passages(docs).collect()}
+    assert got[0] == 0 and all(got[i] >= 40 for i in (1, 2, 3))
+    left = {p.name.split("-")[0] for p in set(shared.iterdir()) - before}
+    assert "grams" not in left and {"phrases", "lines"} <= left
