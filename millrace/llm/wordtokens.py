@@ -11,12 +11,12 @@ from itertools import chain
 
 import numpy as np
 
-#: Pieces that a worker remembers; then it starts anew.
+#: Pieces that a worker remembers; then it keeps the half that it met most often.
 REMEMBER = 600_000
 #: Longer pieces are not remembered; their texts are encoded whole.
 LONGEST = 200
 #: A word of Latin-1 letters and the marks that may follow it. Letters and marks never share a token.
-WORD = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+WORD = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([.,;:!?&#$%*]*)")
 PROBE = ["the", "Über", "naïve", "ñandú", "ß", "Zug", "xqzvk", "Ærø"]
 _coders: dict[str, Coder] = {}
 
@@ -57,8 +57,23 @@ class Coder:
         self.index = Index()
         self.ends: dict[str, list[int]] = {"": []}
         self.lens, self.starts, self.ids = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+        self.hits = np.zeros(1 << 12, np.int64)
         self.n = self.end = 0
 
+    def forget(self) -> None:
+        """Keeps the half of the pieces that were met most often, so that common words are not learnt again."""
+        kept = np.sort(np.argsort(-self.hits[: self.n], kind="stable")[: self.n // 2])
+        pieces, old = list(self.index), self.index
+        self.index = Index()
+        self.index.update((pieces[i], j) for j, i in enumerate(kept.tolist()))
+        del pieces, old
+        lens = self.lens[kept]
+        n = np.maximum(lens, 0).astype(np.int64)
+        ends = np.cumsum(n)
+        self.ids = self.ids[np.repeat(self.starts[kept] - (ends - n), n) + np.arange(int(n.sum()))]
+        self.lens, self.starts, self.hits = lens, ends - n, self.hits[kept] // 2
+        self.n, self.end = len(kept), len(self.ids)
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -100,6 +115,7 @@ class Coder:
         total = int(lens.sum())
         while self.n + len(got) > len(self.lens):
             self.lens, self.starts = np.resize(self.lens, 2 * len(self.lens)), np.resize(self.starts, 2 * len(self.starts))
+            self.hits = np.concatenate([self.hits, np.zeros(len(self.hits), np.int64)])
         while self.end + total > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.starts[self.n : self.n + len(got)] = self.end + np.cumsum(lens) - lens
@@ -114,7 +130,7 @@ class Coder:
         if not texts:
             return []
         if self.n > REMEMBER:
-            self.clear()
+            self.forget()
         split = [t.split(" ") for t in texts]
         for words in split:
             words[0] = f" {words[0]}"
@@ -122,6 +138,7 @@ class Coder:
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         if self.index.pending:
             self.learn()
+        self.hits[: self.n] += np.bincount(at, minlength=self.n)
         first = np.cumsum(counts) - counts
         lens = self.lens[at].astype(np.int64)
         unsure = np.minimum.reduceat(lens, first) < 0

@@ -96,3 +96,16 @@ def test_reduction_fixes_dominating_sets():
 
 def test_packing_of_nothing(no_docs):
     assert packing.pack(no_docs, packing.word_vocabulary()).count() == 0
+
+
+def test_common_pieces_are_remembered(monkeypatch):
+    """Beyond REMEMBER pieces the common ones stay; ids are those of whole texts all the same."""
+    from millrace.llm import wordtokens
+
+    monkeypatch.setattr(wordtokens, "REMEMBER", 300)
+    tested = wordtokens.Coder(wavelet.byte_vocabulary())
+    texts = [[f"the common{'&&&' * (i % 2)} word{'#$%*.'[j % 5]} {'abcdefgh'[j % 8] * (1 + j // 8 % 5)}{'ijklm'[i % 5]}" + chr(97 + i % 26) * 3 for j in range(40)] for i in range(40)]
+    for batch in texts:
+        assert [x.tolist() for x in tested.batch(batch)] == tested.encode(batch)
+        assert len(tested.index) == tested.n <= 600
+    assert tested.index.get("common", tested.n) < 40 and tested.index.get("common&&&", tested.n) < tested.n
