@@ -19,6 +19,8 @@ BATCH_BYTES = 4 << 20
 COLLECT_S = 4
 #: Seconds in which the JVM hears of what Python has collected, by a thread of the bridge's own; its collection must come after that.
 TOLD_S = 0.3
+#: Links of forests, of 16 bytes each, that one task may hold.
+SETTLED = 1 << 20
 #: What separates words: ASCII space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -161,38 +163,55 @@ def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner", size
     return spread.join(copies, on, how).drop("_salt")
 
 
+def contracted(it: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links (a, b) of one partition, each beside the smallest that it reaches there."""
+    found = [b for b in it if b.num_rows]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = [np.concatenate([b[c].to_numpy() for b in found]) for c in ("a", "b")]
+    nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+    a, b = np.split(at, 2)
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for x in (a, b):
+            np.minimum.at(new, label[x], least)
+            np.minimum.at(new, x, least)
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
 def contract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The links (a, b) of one partition as a forest: each node beside the smallest that it reaches there."""
-    found = list(it)
-    if sum(b.num_rows for b in found):
-        ends = [np.concatenate([b[c].to_numpy() for b in found]) for c in ("a", "b")]
-        nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
-        a, b = np.split(at, 2)
-        label = np.arange(len(nodes))
-        while True:
-            least = np.minimum(label[a], label[b])
-            new = label.copy()
-            for x in (a, b):
-                np.minimum.at(new, label[x], least)
-                np.minimum.at(new, x, least)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        low = np.flatnonzero(label != np.arange(len(nodes)))
-        for i in range(0, len(low), 100_000):
-            part = low[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[label[part]])], names=["a", "b"])
+    nodes, least = contracted(it)
+    low = np.flatnonzero(nodes != least)
+    for i in range(0, len(low), 100_000):
+        part = low[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(least[part])], names=["a", "b"])
+
+
+def settle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all nodes, from links (a, b) that are all in one partition."""
+    nodes, least = contracted(it)
+    for i in range(0, len(nodes), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 100_000]), pa.array(least[i : i + 100_000])], names=["node", "component"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the undirected edges (a, b): component is the smallest node reachable.
 
-    Each partition's links are first reduced to a forest; then large-star and small-star steps alternate until nothing
-    changes. Each is an aggregation by node and a salted lookup, so that neither a node with very many links nor a large
-    component meets in one task. Nothing but counts comes to the driver."""
-    e = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a != b").distinct()
-    e = cut(e.mapInArrow(contract, "a long, b long").distinct())
+    Each partition's links are first reduced to a forest. If these forests have SETTLED links at most, one task finds what
+    they connect. Else large-star and small-star steps alternate until nothing changes. Each is an aggregation by node and a
+    salted lookup, so that neither a node with very many links nor a large component meets in one task. Nothing but counts
+    comes to the driver."""
+    e = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a != b")
+    e = cut(e.mapInArrow(contract, "a long, b long"))
+    if e.count() <= SETTLED:
+        return cut(e.coalesce(1).mapInArrow(settle, "node long, component long"))
+    e = cut(e.distinct())
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     seen, now = None, state(e)
     while now != seen and now[0]:

@@ -77,9 +77,10 @@ def visits_for(sample: np.ndarray, books: tuple, threshold: float, recall: float
 
 def unit(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     """The vectors at length 1, from the bytes of their floats or doubles."""
-    raw = vectors.to_pylist()
-    data = b"".join(raw)
-    x = np.frombuffer(data, np.float64 if len(data) == 8 * dim * len(raw) else np.float32).reshape(-1, dim).astype(np.float64)
+    held = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    ends = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1] if len(held) else np.zeros(1, np.int32)
+    data = np.frombuffer(held.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(held) else np.zeros(0, np.uint8)
+    x = data.view(np.float64 if len(data) == 8 * dim * len(held) else np.float32).reshape(-1, dim).astype(np.float64)
     x = x / np.abs(x).max(1, initial=0)[:, None]  # so that no square is too large or too small
     return x / np.linalg.norm(x, axis=1)[:, None]
 
@@ -141,18 +142,27 @@ def links_and_edges(classes: DataFrame, dim: int, threshold: float, recall: floa
         for batch in it:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                reps, weights, vectors, own = part["rep"].to_numpy(), part["w"].to_numpy(), part["v"].to_pylist(), part["cell"].to_numpy()
+                at = np.array([zlib.crc32(r.to_bytes(8, "little", signed=True)) for r in part["rep"].to_pylist()])  # ids may have a common stride
+                own = group[part["cell"].to_numpy()]
                 cells = nearest_cells(*near(unit(part["v"], dim)), visits)
-                out: list[tuple] = []
-                for r, w, v, c, seen in zip(reps.tolist(), weights.tolist(), vectors, own.tolist(), cells, strict=True):
-                    g, at = int(group[c]), zlib.crc32(r.to_bytes(8, "little", signed=True))  # ids may have a common stride
-                    out += [(g, at % int(tiles[g]), t, True, r, w, c, None, v) for t in range(int(tiles[g]))]
-                    seen = np.sort(seen[held[seen] > 0]).astype(np.int32)
-                    of = group[seen]
-                    for g in np.unique(of).tolist():
-                        listed = seen[of == g].tobytes()
-                        out += [(g, t, at % int(tiles[g]), False, r, w, c, listed, v) for t in range(int(tiles[g]))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                row, nth = np.nonzero(held[cells] > 0)
+                seen = cells[row, nth].astype(np.int32)
+                order = np.lexsort((seen, group[seen], row))
+                row, seen = row[order], seen[order]
+                of = group[seen]
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (of[1:] != of[:-1])])) if len(row) else np.zeros(0, np.int64)
+                ends = np.append(4 * first, 4 * len(seen)).astype(np.int32)
+                listed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(seen))])
+                for member, row_of, g in ((True, np.arange(part.num_rows), own), (False, row[first], of[first])):
+                    n = tiles[g]
+                    copy = np.repeat(np.arange(len(g)), n)
+                    each = np.arange(len(copy)) - np.repeat(np.cumsum(n) - n, n)
+                    hashed = at[row_of[copy]] % n[copy]
+                    tile, guest = (hashed, each) if member else (each, hashed)
+                    took = part.take(pa.array(row_of[copy]))
+                    met_cells = pa.nulls(len(copy), pa.binary()) if member else listed.take(pa.array(copy))
+                    out = [g[copy], tile, guest, np.full(len(copy), member), took["rep"], took["w"], took["cell"], met_cells, took["v"]]
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=names)
 
     def met(y: np.ndarray, x_cells: np.ndarray) -> np.ndarray:
         """Whether each y visits the cell beside it."""
@@ -174,8 +184,10 @@ def links_and_edges(classes: DataFrame, dim: int, threshold: float, recall: floa
             lists = [np.frombuffer(b, np.int32) for b in probes["cells"].to_pylist()]
             pair_x = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             pair_c = np.concatenate(lists)
+            by_x, by_y = np.argsort(pair_c, kind="stable"), np.argsort(cell_y, kind="stable")
+            pair_x, pair_c, sorted_y = pair_x[by_x], pair_c[by_x], cell_y[by_y]
             for cell in np.unique(cell_y):
-                ys, xs = np.flatnonzero(cell_y == cell), pair_x[pair_c == cell]
+                ys, xs = (of[slice(*np.searchsorted(by, [cell, cell + 1]))] for of, by in ((by_y, sorted_y), (pair_x, pair_c)))
                 label = ids_y[ys].copy()
                 for lo in range(0, len(xs), 1024):
                     x = xs[lo : lo + 1024]

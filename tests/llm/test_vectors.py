@@ -144,3 +144,16 @@ def test_graphs_are_walked_in_step():
         hit += len({i for _, i in best} & {i for _, i in found})
         n += k
     assert hit / n >= 0.97 and got[7] == graph.search(x[7], ks[7])
+
+
+def test_units_of_parts():
+    """Vectors are read from the buffers of a part of a batch, of floats and of doubles."""
+    import pyarrow as pa
+
+    for kind in (np.float32, np.float64):
+        x = np.arange(1, 41, dtype=kind).reshape(8, 5)
+        held = pa.array([r.tobytes() for r in x], pa.binary())
+        want = x[3:6].astype(float) / np.linalg.norm(x[3:6].astype(float), axis=1)[:, None]
+        for part in (held.slice(3, 3), pa.chunked_array([held.slice(3, 1), held.slice(4, 2)])):
+            assert np.allclose(embedding_dedup.unit(part, 5), want, rtol=1e-12)
+    assert embedding_dedup.unit(held.slice(0, 0), 5).shape == (0, 5)
