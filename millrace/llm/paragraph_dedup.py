@@ -196,17 +196,20 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     first speaks for its windows, and only where its gram has other phrases too: there windows are compared one by one."""
     grams, at = stored(rows_of_grams(docs), "grams")
     firsts = cut(grams.groupBy("g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("_n")).where("least < most").select("g", "_n"))
-    own = lookup(grams, firsts, "g", sized=True).groupBy("doc_id").agg(F.collect_set("g").alias("shared"))  # a document's own
+    own = lookup(grams, firsts.hint("shuffle_hash"), "g", sized=True).groupBy("doc_id").agg(F.collect_set("g").alias("shared"))  # a document's own
     rows, _ = stored(rows_of_phrases(docs.join(own, "doc_id")), "phrases")
     discard(docs.sparkSession, at)  # the last that reads grams
-    classes = cut(rows.groupBy("p").agg(F.first("g").alias("g"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("_n"), F.first("windows").alias("windows")))
+    classes, at_classes = stored(rows.groupBy("p").agg(F.first("g").alias("g"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("_n"), F.first("windows").alias("windows")), "classes")
     again = classes.where("first < last").select("p", "first", "_n")
-    whole = lookup(rows.select("doc_id", "p"), again, "p", sized=True).where("doc_id > first").select("doc_id", "p", F.lit(None).cast("long").alias("w"))
+    whole = lookup(rows.select("doc_id", "p"), again.hint("shuffle_hash"), "p", sized=True).where("doc_id > first").select("doc_id", "p", F.lit(None).cast("long").alias("w"))
     several = classes.groupBy("g").agg(F.count("*").alias("_n")).where("_n > 1")
-    single = cut(lookup(classes.select("g", "first", "windows"), several, "g", sized=True).select("first", F.explode("windows").alias("w")))
+    single, at_single = stored(lookup(classes.select("g", "first", "windows"), several.hint("merge"), "g", sized=True).select("first", F.explode("windows").alias("w")), "single")
     least = single.groupBy("w").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.count("*").alias("_n")).where("least < most").select("w", "least", "_n")
-    parts = lookup(single, least, "w", sized=True).where("first > least").select(F.col("first").alias("doc_id"), F.lit(None).cast("long").alias("p"), "w").distinct()
-    return whole.unionByName(parts)
+    parts = lookup(single, least.hint("merge"), "w", sized=True).where("first > least").select(F.col("first").alias("doc_id"), F.lit(None).cast("long").alias("p"), "w").distinct()
+    out, _ = stored(whole.unionByName(parts), "repeated")
+    for x in (at_classes, at_single):  # nothing reads them any more
+        discard(docs.sparkSession, x)
+    return out
 
 
 def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -301,9 +304,10 @@ def line_links(lines: DataFrame, docs: DataFrame) -> DataFrame:
     First all lines of a bucket are compared with its smallest. Where a bucket's lines are not all connected then, those
     outside the largest of its components are compared with all others, in tiles of bounded size. So any two lines of a
     bucket are compared or connected; no bucket is emitted in pairs, cut short, or met whole in a task."""
-    keyed = lines.select("h", F.explode("bands").alias("key"))
+    distinct = cut(lines.groupBy("h").agg(F.first("bands").alias("bands")))  # equal lines have equal bands
+    keyed = distinct.select("h", F.explode("bands").alias("key"))
     pivots = keyed.groupBy("key").agg(F.min("h").alias("pivot"), F.max("h").alias("most"), F.count("*").alias("_n")).where("pivot < most").select("key", "pivot", "_n")
-    met = cut(lookup(keyed, cut(pivots), "key", sized=True).select("key", "h", "pivot").distinct())
+    met = cut(lookup(keyed, cut(pivots).hint("shuffle_hash"), "key", sized=True).select("key", "h", "pivot").distinct())
     needed = sets_of(cut(met.select("h").distinct()), docs)
     star = verified(cut(met.where("h != pivot").select(F.col("pivot").alias("a"), F.col("h").alias("b")).distinct()), needed)
     roots = components(star).withColumnRenamed("node", "h")
@@ -336,7 +340,7 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     of = cut(classes.join(roots, "h", "left").withColumn("component", F.coalesce("component", "h")))
     spans = of.groupBy("component").agg(F.min("first").alias("least"), F.max("last").alias("most")).where("least < most").select("component", "least")
     known = lookup(of.select("h", "component", "_n"), spans, "component").select("h", "least", "_n")
-    near = lookup(lines.select("doc_id", "h"), cut(known), "h", sized=True).where("doc_id > least").select("doc_id", F.col("h").alias("l")).distinct()
+    near = lookup(lines.select("doc_id", "h"), cut(known).hint("shuffle_hash"), "h", sized=True).where("doc_id > least").select("doc_id", F.col("h").alias("l")).distinct()
     none = F.lit(None).cast("long")
     return again.withColumn("l", none).unionByName(near.select("doc_id", none.alias("p"), none.alias("w"), "l"))
 

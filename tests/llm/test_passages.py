@@ -161,3 +161,14 @@ def test_grams_go_after_their_last_use(spark):
     assert got[0] == 0 and all(got[i] >= 40 for i in (1, 2, 3))
     left = {p.name.split("-")[0] for p in set(shared.iterdir()) - before}
     assert "grams" not in left and {"phrases", "lines"} <= left
+
+
+def test_classes_of_phrases_go_after_their_last_use(spark):
+    """The lists of classes and of their windows are deleted before lines are compared."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    passage = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, f"start{i} {passage} end{i}") for i in range(3)], "doc_id long, text string")
+    before = set(shared.iterdir())
+    assert paragraph_dedup.repeated_windows(docs).where("doc_id > 0").count()
+    left = {p.name.split("-")[0] for p in set(shared.iterdir()) - before}
+    assert "repeated" in left and not {"grams", "classes", "single"} & left
