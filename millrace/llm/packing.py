@@ -174,10 +174,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
 
     def run(it):
         tokens = coder(tokenizer)
-        for batch in batches(it, 1000):
+        for batch in batches(it, 2000):
             out = []
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), tokens.batch(texts), strict=True):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), tokens.batch(batch["text"]), strict=True):
                 ids = np.append(ids, end).astype("<u4")
                 for k in range(0, len(ids), capacity):
                     part = ids[k : k + capacity]

@@ -48,7 +48,7 @@ class WaveletMatrix:
         for k in range(bits - 1, -1, -1):
             ones = (now & now.dtype.type(1 << k)) != 0
             planes.append(np.packbits(ones))
-            now = np.concatenate([now[~ones], now[ones]])
+            now = np.concatenate([now.take(np.flatnonzero(~ones)), now.take(np.flatnonzero(ones))])
         return cls(len(ids), planes)
 
     def decode(self) -> np.ndarray:
@@ -59,8 +59,8 @@ class WaveletMatrix:
             ones = np.unpackbits(plane, count=self.n).view(bool)
             z = self.zeros[len(self.planes) - 1 - k]
             before = np.empty(self.n, kind)
-            before[~ones] = now[:z]
-            before[ones] = now[z:] | kind(1 << k)
+            before[np.flatnonzero(~ones)] = now[:z]  # places are far quicker than masks here
+            before[np.flatnonzero(ones)] = now[z:] | kind(1 << k)
             now = before
         return now.astype(np.uint32)
 
@@ -182,9 +182,9 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shard: int = SHAR
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["part", "number", "before", "n_docs", "n_tokens", "path"])
 
-        for batch in batches(it, 500):
+        for batch in batches(it, 2000):
             part = batch["part"][0].as_py()
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), tokens.batch([t or "" for t in batch["text"].to_pylist()]), strict=True):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), tokens.batch(batch["text"]), strict=True):
                 if texts and held + len(ids) + 1 > shard:
                     yield flush()
                 doc_ids.append(doc_id)

@@ -109,3 +109,18 @@ def test_common_pieces_are_remembered(monkeypatch):
         assert [x.tolist() for x in tested.batch(batch)] == tested.encode(batch)
         assert len(tested.index) == tested.n <= 600
     assert tested.index.get("common", tested.n) < 40 and tested.index.get("common&&&", tested.n) < tested.n
+
+
+@pytest.mark.parametrize("path", VOCABULARIES)
+def test_words_between_line_feeds_are_learnt_once(path):
+    """A line feed between two words ends a piece as a space does; the library gets each word once, with marks or without."""
+    parts = ["Zug", "über", "naïve", "Ærø", "x1", "'s", "<|endoftext|>", "\n", "\n", "\n", " ", "\t", "\xa0", "...", "?!", "×", "é", "ß", "́", "\x85"]
+    rng = random.Random(3)
+    tested, whole = Coder(path), Coder(path).tokenizer
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    assert [x.tolist() for x in tested.batch(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    tested.clear()
+    told = []
+    of_words, tested.of_words = tested.of_words, lambda words: told.extend(words) or of_words(words)
+    tested.batch(["one two.\nthree", "one, two!\nfour two."])
+    assert sorted(told) == sorted(["one", " two", "\nthree", "\nfour"])
