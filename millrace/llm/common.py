@@ -200,14 +200,25 @@ def settle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 100_000]), pa.array(least[i : i + 100_000])], names=["node", "component"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def snug(df: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """df, which `cut` has made, read by one task if it has no more than `most` rows, and whether it has.
+
+    Steps on such a table then need no shuffle and no task for each of a few hundred partitions that are all but empty."""
+    few = df.count() <= most
+    return df.coalesce(1) if few else df, few
+
+
+def components(edges: DataFrame, held: bool = False) -> DataFrame:
     """(node, component) of every node of the undirected edges (a, b): component is the smallest node reachable.
 
-    Each partition's links are first reduced to a forest. If these forests have SETTLED links at most, one task finds what
+    Edges that are held, made from what `cut` has made, are counted first: up to SETTLED of them go to one task at once. Else
+    each partition's links are first reduced to a forest. If these forests have SETTLED links at most, one task finds what
     they connect. Else large-star and small-star steps alternate until nothing changes. Each is an aggregation by node and a
     salted lookup, so that neither a node with very many links nor a large component meets in one task. Nothing but counts
     comes to the driver."""
     e = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a != b")
+    if held and e.count() <= SETTLED:
+        return cut(e.coalesce(1).mapInArrow(settle, "node long, component long"))
     e = cut(e.mapInArrow(contract, "a long, b long"))
     if e.count() <= SETTLED:
         return cut(e.coalesce(1).mapInArrow(settle, "node long, component long"))

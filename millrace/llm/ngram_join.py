@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.arrowtext import batches, lean, slices
-from millrace.llm.common import components, cut, discard, lookup, named, salted, stored, table
+from millrace.llm.common import components, cut, discard, lookup, named, salted, snug, stored, table
 from millrace.llm.textsets import shingles, words
 
 K, PERCENT = 5, 80
@@ -111,8 +111,10 @@ def shared_entries(classes: DataFrame, last: np.ndarray) -> tuple[DataFrame, str
 
 
 def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with o, na and nb: sizes of the intersection and of the two documents' sets, from their whole texts."""
-    pairs = cut(pairs)
+    """pairs (a, b, ...) with o, na and nb: sizes of the intersection and of the two documents' sets, from their whole texts.
+
+    Up to SENT pairs are read by one task, before and after; their sets are spread in any case."""
+    pairs, few = snug(cut(pairs), SENT)
 
     def run(it):
         for batch in batches(it, 1000):
@@ -120,8 +122,10 @@ def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary())], names=["node", "set"])
 
     def sets(of: str) -> DataFrame:
-        ids = cut(pairs.select(F.col(of).alias("doc_id")).distinct())
-        ids = F.broadcast(ids) if ids.count() <= SENT else ids
+        ids = pairs.select(F.col(of).alias("doc_id")).distinct()
+        if not few:
+            ids = cut(ids)
+        ids = F.broadcast(ids) if few or ids.count() <= SENT else ids  # SENT ids at most
         return docs.select("doc_id", "text").join(ids, "doc_id").mapInArrow(lean(run), "node long, set binary").withColumnsRenamed({"node": of, "set": f"set_{of}"})
 
     # hot centres are found on the bare pairs, so that sets move only once
@@ -141,7 +145,8 @@ def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 o.append(int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0)
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], *[pa.array(v, pa.int32()) for v in (o, na, nb)]], names=[*names, "o", "na", "nb"])
 
-    return cut(both.select(*names, "set_a", "set_b").mapInArrow(lean(count), f"{types}, o int, na int, nb int"))
+    out = cut(both.select(*names, "set_a", "set_b").mapInArrow(lean(count), f"{types}, o int, na int, nb int"))
+    return out.coalesce(1) if few else out
 
 
 LINKED = "100L * o >= 80L * (na + nb - o)"
@@ -176,9 +181,9 @@ def links(classes: DataFrame, docs: DataFrame, last: np.ndarray) -> DataFrame:
     best = met.groupBy("node").agg(F.max(F.struct("c", (-F.col("first")).alias("k"))).alias("m")).select(F.col("node").alias("b"), (-F.col("m.k")).alias("a"))
     answers = compare(best, docs)
     close = answers.where(LINKED)
-    known = cut(close.select(F.col("b").alias("node"), F.col("a").alias("centre"), (1 - F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).alias("d")))
+    known = close.select(F.col("b").alias("node"), F.col("a").alias("centre"), (1 - F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).alias("d"))
     edges = close.select("a", "b")
-    roots = components(edges)
+    roots = components(edges, held=True)
     of = known.join(roots, "node", "full").select("node", F.coalesce("centre", "node").alias("centre"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "node").alias("component"))
     placed = entries.join(of, "node", "left").select("s", "node", "n", "rest", F.coalesce("centre", "node").alias("centre"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "node").alias("component"))
     shared = known.select("centre").distinct().withColumn("alone", F.lit(False))
@@ -198,26 +203,26 @@ def links(classes: DataFrame, docs: DataFrame, last: np.ndarray) -> DataFrame:
     early = 9 * F.least("x.rest", "y.rest") >= 4 * (F.col("x.least") + F.col("y.least"))  # in some list, if the sets link
     both = x.join(y.hint("merge"), (F.col("x.s") == F.col("y.s")) & may)
     counted = both.groupBy(F.col("x.centre").alias("a"), F.col("y.centre").alias("b")).agg(F.count("*").alias("c"), F.max("x.most").alias("n"), F.max("y.most").alias("m"), F.min(F.col("x.alone") & F.col("y.alone")).alias("alone"), F.max(early).alias("early"))
-    centres = cut(counted.where(F.col("early") & (~F.col("alone") | enough("c", "n", "m"))).select("a", "b"))
+    centres, _ = snug(cut(counted.where(F.col("early") & (~F.col("alone") | enough("c", "n", "m"))).select("a", "b")), SENT)
     discard(spark, at_lists)
     told = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "o", "na", "nb")
     fresh = compare(centres.join(told, ["a", "b"], "left_anti"), docs)
-    answers = cut(fresh.unionByName(centres.join(told, ["a", "b"]).select("a", "b", "o", "na", "nb")))
+    answers, _ = snug(cut(fresh.unionByName(centres.join(told, ["a", "b"]).select("a", "b", "o", "na", "nb"))), SENT)
     edges = edges.unionByName(answers.where(LINKED).select("a", "b"))
     # members at d1 and d2 from centres that are gap apart can only link if gap - d1 - d2 <= 1 - PERCENT / 100, for d1, d2 <= 1 - PERCENT / 100
     near = answers.withColumn("gap", 1 - F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).where(F.col("gap") <= 3 * (1 - PERCENT / 100) + 1e-9).select("a", "b", "gap")
-    joined = components(edges)
+    joined = components(edges, held=True)
     # a member is linked to its centre and so in its component: centres that are connected by now have nothing left to find
-    near = cut(parted(near, joined))
+    near, _ = snug(cut(parted(near, joined)), SENT)
     comp = F.coalesce("component", "node")
     now = placed.drop("component").join(joined, "node", "left").withColumn("component", comp)
-    touched = cut(near.select(F.explode(F.array("a", "b")).alias("centre")).distinct())
+    touched, _ = snug(cut(near.select(F.explode(F.array("a", "b")).alias("centre")).distinct()), SENT)
     now = now.join(touched, "centre", "left_semi")
     # two sets whose last shared shingles before this one are the same have met in that one's list: this block of places is skipped
     now, at_now = stored(now.withColumn("before", F.lag("s").over(Window.partitionBy("node").orderBy(F.desc("rest")))), "now")
     discard(spark, at_placed)
     # of two near clusters the one with fewer entries goes to the other's lists
-    entries_of = cut(now.groupBy("centre").agg(F.count("*").alias("n")))
+    entries_of, _ = snug(cut(now.groupBy("centre").agg(F.count("*").alias("n"))), SENT)
     for of in ("a", "b"):
         near = lookup(near, entries_of.hint("merge").withColumnsRenamed({"centre": of, "n": f"n_{of}"}), of)
     turned = F.col("n_a") > F.col("n_b")
@@ -251,7 +256,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     # the one shuffle that the prefixes make: to a row for each set
     nodes = cut(full.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("m")).select("fp", F.col("m.doc_id").alias("node"), F.col("m.n").alias("n"), F.col("m.prefix").alias("prefix")))
     classes = nodes.select("fp", "node")
-    roots = components(links(nodes, rows, last))
+    roots = components(links(nodes, rows, last), held=True)
     by_class = classes.join(roots, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component"))
     found = lookup(full.select("fp", "doc_id", "n"), by_class, "fp").select("doc_id", "n", "node", "component")
     rest = marked.where("fp is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("node"), F.col("doc_id").alias("component"))

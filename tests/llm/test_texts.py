@@ -250,3 +250,17 @@ def test_quantiles_are_those_of_all_values(spark):
     for lang, r in got.items():
         mine = [x for k, x in values if k == lang]
         assert r["n"] == len(mine) and np.allclose([r["low"], r["mid"], r["high"], r["last"]], np.quantile(mine, [0.001, 0.5, 0.999, 1.0]), rtol=1e-12)
+
+
+def test_few_pairs_take_few_tasks(spark, monkeypatch):
+    """Few pairs of many partitions are handled by one task, with the same answers as by many."""
+    from millrace.llm import common
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, 30 + i))) for i in range(8)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(7)], "a long, b long").repartition(40)
+    one = ngram_join.compare(pairs, docs)
+    assert one.rdd.getNumPartitions() == 1
+    monkeypatch.setattr(ngram_join, "SENT", 0)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, ngram_join.compare(pairs, docs).collect())) == [(i, i + 1, 25, 26, 26) for i in range(7)]
+    monkeypatch.setattr(common, "contract", None)  # no forest of each partition is made
+    assert {r["component"] for r in components(common.cut(pairs), held=True).collect()} == {0}
