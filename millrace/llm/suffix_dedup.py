@@ -27,6 +27,7 @@ CONTEXT = WIDTH + SPAN - 1
 BATCH, PER_SHARD, HOT = 2 << 20, 1 << 19, 512
 #: Bytes parsed at once, and bytes whose triggers a task gathers before it sends them.
 BLOCK, GATHER = 1 << 18, 4 << 20
+FOLD = np.array([pow(0xA0761D6478BD642F, i + 1, 1 << 64) | 1 for i in range(-(-WIDTH // 8))], np.uint64)
 SPREAD = np.array([pow(0xD1342543DE82EF95, i + 1, 1 << 64) | 1 for i in range(WIDTH)], np.uint64)
 
 
@@ -232,18 +233,31 @@ class Batch:
 def sort_suffixes(rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For each context a bit for each of its windows: a document smaller than the context's own has the same WIDTH bytes.
 
-    The suffixes of all contexts that are a window long, sorted by their first WIDTH bytes; in each run of equal ones the
-    smallest document is found."""
+    The suffixes of all contexts that are a window long are sorted by a hash of their first WIDTH bytes, and neighbours of
+    one hash compared; should two of them differ, all are sorted by the bytes themselves. In each run of equal ones the
+    smallest document is found; a window that equals no other needs nothing more."""
     masks = np.zeros(len(rows), np.uint32)
     number = rows[:, CONTEXT].astype(np.int64)
     context = np.repeat(np.arange(len(rows)), number)
     start = np.arange(len(context)) - np.repeat(np.cumsum(number) - number, number)
-    words = strings(rows.ravel(), context * (CONTEXT + 1) + start, -(-WIDTH // 8) * 8)
+    words = strings(rows.ravel(), context * (CONTEXT + 1) + start, len(FOLD) * 8)
     words[:, WIDTH:] = 0
-    keys = words.view(">u8").astype(np.uint64)
-    order = np.lexsort(tuple(keys[:, k] for k in range(keys.shape[1] - 1, -1, -1)))
-    new = np.concatenate([[True], (keys[order[1:]] != keys[order[:-1]]).any(1)])
-    begin = np.flatnonzero(new)
+    keys = words.view(np.uint64)
+    hashes = np.zeros(len(keys), np.uint64)
+    for k, factor in enumerate(FOLD):
+        hashes += mix(keys[:, k] + factor) * factor
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    same = hashes[1:] == hashes[:-1]
+    at = np.flatnonzero(same)
+    if (keys[order[at]] != keys[order[at + 1]]).any():
+        order = np.lexsort(tuple(keys.T))
+        same = (keys[order[1:]] == keys[order[:-1]]).all(1)
+    new = np.concatenate([[True], ~same])
+    shared = ~new | np.concatenate([same, [False]])
+    order, begin = order[shared], np.flatnonzero(new[shared])
+    if not len(order):
+        return masks
     own = docs[context[order]]
     least = np.repeat(np.minimum.reduceat(own, begin), np.diff(np.append(begin, len(order))))
     smaller = order[least < own]

@@ -264,3 +264,20 @@ def test_few_pairs_take_few_tasks(spark, monkeypatch):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, ngram_join.compare(pairs, docs).collect())) == [(i, i + 1, 25, 26, 26) for i in range(7)]
     monkeypatch.setattr(common, "contract", None)  # no forest of each partition is made
     assert {r["component"] for r in components(common.cut(pairs), held=True).collect()} == {0}
+
+
+def test_equal_windows_whatever_their_hashes(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = np.zeros((300, suffix_dedup.CONTEXT + 1), np.uint8)
+    rows[:, :-1] = rng.integers(0, 2, (300, 4))[:, rng.integers(0, 4, suffix_dedup.CONTEXT)]
+    rows[:, -1] = rng.integers(1, suffix_dedup.SPAN + 1, 300)
+    docs = rng.integers(0, 40, 300)
+    least, want = {}, np.zeros(300, np.uint32)
+    windows = [(i, k, rows[i, k : k + suffix_dedup.WIDTH].tobytes()) for i in range(300) for k in range(rows[i, -1])]
+    for i, _, w in windows:
+        least[w] = min(least.get(w, 99), docs[i])
+    for i, k, w in windows:
+        want[i] |= np.uint32(least[w] < docs[i]) << np.uint32(k)
+    assert want.any() and (suffix_dedup.sort_suffixes(rows, docs) == want).all()
+    monkeypatch.setattr(suffix_dedup, "FOLD", np.zeros(len(suffix_dedup.FOLD), np.uint64))  # all hashes clash
+    assert (suffix_dedup.sort_suffixes(rows, docs) == want).all()
