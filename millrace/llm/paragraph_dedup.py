@@ -304,10 +304,12 @@ def line_links(lines: DataFrame, docs: DataFrame) -> DataFrame:
     First all lines of a bucket are compared with its smallest. Where a bucket's lines are not all connected then, those
     outside the largest of its components are compared with all others, in tiles of bounded size. So any two lines of a
     bucket are compared or connected; no bucket is emitted in pairs, cut short, or met whole in a task."""
-    distinct = cut(lines.groupBy("h").agg(F.first("bands").alias("bands")))  # equal lines have equal bands
+    distinct, at = stored(lines.groupBy("h").agg(F.first("bands").alias("bands")), "bands")  # equal lines have equal bands
     keyed = distinct.select("h", F.explode("bands").alias("key"))
     pivots = keyed.groupBy("key").agg(F.min("h").alias("pivot"), F.max("h").alias("most"), F.count("*").alias("_n")).where("pivot < most").select("key", "pivot", "_n")
-    met = cut(lookup(keyed, cut(pivots).hint("shuffle_hash"), "key", sized=True).select("key", "h", "pivot").distinct())
+    pivots = cut(pivots)  # takes the name of its plan, whose shuffle, of a row per line and band, stays as long as that is held
+    met = cut(lookup(keyed, pivots.hint("shuffle_hash"), "key", sized=True).select("key", "h", "pivot").distinct())
+    discard(docs.sparkSession, at)  # the last that reads bands
     needed = sets_of(cut(met.select("h").distinct()), docs)
     star = verified(cut(met.where("h != pivot").select(F.col("pivot").alias("a"), F.col("h").alias("b")).distinct()), needed)
     roots = components(star).withColumnRenamed("node", "h")

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from millrace.llm import paragraph_dedup
+from millrace.llm import common, paragraph_dedup
 
 
 def test_passages_inside_lines_go_whole(spark):
@@ -172,3 +172,35 @@ def test_classes_of_phrases_go_after_their_last_use(spark):
     assert paragraph_dedup.repeated_windows(docs).where("doc_id > 0").count()
     left = {p.name.split("-")[0] for p in set(shared.iterdir()) - before}
     assert "repeated" in left and not {"grams", "classes", "single"} & left
+
+
+def test_bands_go_after_their_last_use(spark, monkeypatch):
+    """Once lines have met in buckets, neither their bands nor a shuffle of them are kept while they are compared."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join([*words[:i], f"y{rng.randrange(10**6)}", *words[i + 1 :]]) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = spark.createDataFrame(paragraph_dedup.rows_of_lines(docs).select("h", "bands").collect(), "h long, bands array<long>")
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    shuffles = lambda: {int(k) for k in tracker.shuffleStatuses().keySet().mkString(",").split(",") if k}
+    before, gone, kept = shuffles(), [], []
+    discard, verified = paragraph_dedup.discard, paragraph_dedup.verified
+
+    def discarded(session, at):
+        gone.append(Path(at).name.split("-")[0])
+        discard(session, at)
+
+    def compared(pairs, needed):
+        held = shuffles() - before
+        for _ in range(20):  # Spark deletes them in a thread of its own
+            if held:
+                common.release(spark)
+                held &= shuffles()
+        kept.append(held)
+        assert "bands" in gone
+        return verified(pairs, needed)
+
+    monkeypatch.setattr(paragraph_dedup, "discard", discarded)
+    monkeypatch.setattr(paragraph_dedup, "verified", compared)
+    assert paragraph_dedup.line_links(lines, docs).count()
+    assert kept == [set()]
