@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 #: Seconds between two collections of the driver's garbage, and with it of shuffle files.
 COLLECT_S = 4
-#: Seconds in which the JVM hears of what Python has collected, by a thread of the bridge's own; its collection must come after that.
-TOLD_S = 0.3
+#: Seconds between two looks of the bridge's own thread, which tells the JVM what Python has collected, and some for the telling.
+TOLD_S = 1.2
 #: Links of forests, of 16 bytes each, that one task may hold.
 SETTLED = 1 << 20
 #: What separates words: ASCII space and the five ASCII controls from tab to carriage return.
@@ -67,10 +67,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tell_collected(spark: SparkSession) -> None:
+    """Has the JVM let go of what Python has collected; its own collection must come after that.
+
+    The bridge's thread looks for such objects once a second, so that those of the last step would often be missed."""
+    waiting = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
+    if waiting is None:  # another bridge
+        time.sleep(TOLD_S)
+        return
+    for _ in range(len(waiting)):
+        try:
+            task = waiting.pop()
+        except IndexError:  # that thread was faster
+            break
+        if isinstance(task, str):  # ends that thread
+            waiting.append(task)
+            break
+        client, name = task
+        client.garbage_collect_object(name, False)
+    time.sleep(0.05)  # it may be telling one just now
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete what it has written for plans that nothing refers to any more."""
     gc.collect()
-    time.sleep(TOLD_S)
+    tell_collected(spark)
     spark.range(1).count()  # threads that ran the last job refer to it until they run another
     jvm = spark.sparkContext._jvm
     jvm.System.gc()

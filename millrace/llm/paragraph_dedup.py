@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.arrowtext import batches, lean, slices
-from millrace.llm.common import components, cut, discard, lookup, stored, table
+from millrace.llm.common import components, cut, discard, lookup, release, stored, table
 from millrace.llm.textsets import STEPS, mix, powers, shingles, words
 
 K, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.999, 32
@@ -75,6 +75,16 @@ def phrases(hw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return w, a, b, least[a], span_hashes(hw, a, b + RUN - 1) if len(a) else np.zeros(0, np.uint64)
 
 
+def distinct_windows(w: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct windows of each of some phrases a to b - 1, one phrase after the other, and how many each has."""
+    n = b - a
+    every = w[np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+    if len(np.unique(every)) == len(every):  # as in most texts
+        return every, n
+    own = [np.unique(w[i:j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    return np.concatenate(own), np.array([len(x) for x in own])
+
+
 class Slice:
     """Words of some whole texts of a batch, rows lo to hi - 1, and their lines of LONG words or more: row, words a to b - 1, hash."""
 
@@ -170,18 +180,19 @@ def rows_of_phrases(docs: DataFrame) -> DataFrame:
     def run(it):
         for batch in it:
             ids, shared = batch["doc_id"].to_numpy(), batch["shared"]
-            doc, grams, hashes, held = [], [], [], []
+            doc, grams, hashes, held, sizes = [], [], [], [], []
             for part in sliced(batch):
                 for row, hw, _, _ in part.texts():
                     w, a, b, g, p = phrases(hw)
                     some = np.flatnonzero(np.isin(g.view(np.int64), shared[row].values.to_numpy()))
                     _, once = np.unique(p[some], return_index=True)
-                    for i in some[once].tolist():
-                        held.append(np.unique(w[a[i] : b[i]]))
+                    own, n = distinct_windows(w, a[some[once]], b[some[once]])
+                    held.append(own)
+                    sizes.append(n)
                     doc.append(np.full(len(once), ids[row]))
                     grams.append(g[some[once]])
                     hashes.append(p[some[once]])
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), signed(np.concatenate([np.zeros(0, np.uint64), *held])))
             joined = [np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((doc, np.int64), (grams, np.uint64), (hashes, np.uint64))]
             yield pa.RecordBatch.from_arrays([*[signed(x) for x in joined], listed], names=["doc_id", "g", "p", "windows"])
@@ -196,9 +207,11 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     first speaks for its windows, and only where its gram has other phrases too: there windows are compared one by one."""
     grams, at = stored(rows_of_grams(docs), "grams")
     firsts = cut(grams.groupBy("g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("_n")).where("least < most").select("g", "_n"))
-    own = lookup(grams, firsts.hint("shuffle_hash"), "g", sized=True).groupBy("doc_id").agg(F.collect_set("g").alias("shared"))  # a document's own
-    rows, _ = stored(rows_of_phrases(docs.join(own, "doc_id")), "phrases")
+    own = cut(lookup(grams, firsts.hint("shuffle_hash"), "g", sized=True).groupBy("doc_id").agg(F.collect_set("g").alias("shared")))  # a document's own
     discard(docs.sparkSession, at)  # the last that reads grams
+    release(docs.sparkSession)  # the grams that were dealt out for it
+    rows, _ = stored(rows_of_phrases(docs.join(own, "doc_id")), "phrases")
+    release(docs.sparkSession)  # the texts
     classes, at_classes = stored(rows.groupBy("p").agg(F.first("g").alias("g"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("_n"), F.first("windows").alias("windows")), "classes")
     again = classes.where("first < last").select("p", "first", "_n")
     whole = lookup(rows.select("doc_id", "p"), again.hint("shuffle_hash"), "p", sized=True).where("doc_id > first").select("doc_id", "p", F.lit(None).cast("long").alias("w"))
@@ -307,9 +320,12 @@ def line_links(lines: DataFrame, docs: DataFrame) -> DataFrame:
     distinct, at = stored(lines.groupBy("h").agg(F.first("bands").alias("bands")), "bands")  # equal lines have equal bands
     keyed = distinct.select("h", F.explode("bands").alias("key"))
     pivots = keyed.groupBy("key").agg(F.min("h").alias("pivot"), F.max("h").alias("most"), F.count("*").alias("_n")).where("pivot < most").select("key", "pivot", "_n")
+    release(docs.sparkSession)  # the bands of all lines
     pivots = cut(pivots)  # takes the name of its plan, whose shuffle, of a row per line and band, stays as long as that is held
+    release(docs.sparkSession)
     met = cut(lookup(keyed, pivots.hint("shuffle_hash"), "key", sized=True).select("key", "h", "pivot").distinct())
     discard(docs.sparkSession, at)  # the last that reads bands
+    release(docs.sparkSession)
     needed = sets_of(cut(met.select("h").distinct()), docs)
     star = verified(cut(met.where("h != pivot").select(F.col("pivot").alias("a"), F.col("h").alias("b")).distinct()), needed)
     roots = components(star).withColumnRenamed("node", "h")
@@ -318,6 +334,8 @@ def line_links(lines: DataFrame, docs: DataFrame) -> DataFrame:
     mixed = cut(mixed.where("parts > 1").select("key", F.col("m.component").alias("largest"), "_n"))
     left = lookup(placed, mixed, "key", sized=True).join(needed, "h").withColumn("probe", F.col("component") != F.col("largest")).drop("largest")
     left = cut(left.select("key", "h", "component", "probe", "set"))
+    del placed, met, needed
+    release(docs.sparkSession)  # the sets of all candidates
     bytes_of = F.octet_length("set").cast("long")
     tiles = left.groupBy("key").agg(F.ceil(F.sum(bytes_of) / TILE).cast("int").alias("tiles"), F.ceil(F.sum(F.when(F.col("probe"), bytes_of)) / TILE).cast("int").alias("blocks"), F.count("*").alias("_n"))
     tiles = cut(tiles)
@@ -364,6 +382,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
         known, _ = stored(there.join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", "text"), "texts")
     none = F.lit(None).cast("long")
     units = repeated_units(known).withColumn("d", F.lit(None).cast("string")).unionByName(copies.select("doc_id", none.alias("p"), none.alias("w"), none.alias("l"), F.col("digest").alias("d")))
+    release(docs.sparkSession)  # what the units were made from; the texts are dealt out next
     of = units.groupBy("doc_id").agg(F.collect_list("p").alias("phrases"), F.collect_list("w").alias("windows"), F.collect_list("l").alias("lines"), F.collect_list("d").alias("copies"))  # a document's own units
     marked = rows.join(of, "doc_id", "left").withColumn("copy", F.array_contains("copies", F.md5("text")))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

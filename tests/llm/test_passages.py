@@ -3,6 +3,7 @@
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from millrace.llm import common, paragraph_dedup
@@ -204,3 +205,42 @@ def test_bands_go_after_their_last_use(spark, monkeypatch):
     monkeypatch.setattr(paragraph_dedup, "verified", compared)
     assert paragraph_dedup.line_links(lines, docs).count()
     assert kept == [set()]
+
+
+def test_grams_go_before_texts_are_dealt_out(spark, tmp_path, monkeypatch):
+    """The table of grams is deleted before the texts are dealt out beside their shared grams, not only after that."""
+    monkeypatch.setattr(common, "shared_path", lambda session, label: f"{tmp_path}/{label}")
+    passage = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, f"start{i} {passage} end{i}") for i in range(3)], "doc_id long, text string")
+    there, rows_of_phrases = [], paragraph_dedup.rows_of_phrases
+
+    def phrases(texts):
+        there.extend(p.name for p in tmp_path.iterdir())
+        return rows_of_phrases(texts)
+
+    monkeypatch.setattr(paragraph_dedup, "rows_of_phrases", phrases)
+    assert paragraph_dedup.repeated_windows(docs).where("doc_id > 0").count()
+    assert there == []
+
+
+def test_release_lets_go_of_the_last_step(spark):
+    """What Python has let go of just before is gone after one release, not only after the bridge's next look."""
+    held = []
+    for _ in range(6):
+        x = spark.sparkContext._jvm.java.util.ArrayList()
+        weak = spark.sparkContext._jvm.java.lang.ref.WeakReference(x)
+        del x
+        common.release(spark)
+        held.append(weak.get() is not None)
+    assert held == [False] * 6
+
+
+def test_distinct_windows_of_phrases():
+    """Windows of many phrases at once are those of each alone, also where a text repeats itself."""
+    rng = np.random.default_rng(4)
+    for kinds in (1, 3, 10**9):
+        w, edges = rng.integers(0, kinds, 200).astype(np.uint64), np.array([0, 1, 5, 60, 61, 199])
+        for a, b in ((edges[:-1], edges[1:]), (edges[:0], edges[:0]), (edges[3:0:-2], edges[4:1:-2])):
+            own, n = paragraph_dedup.distinct_windows(w, a, b)
+            assert [sorted(x.tolist()) for x in np.split(own, np.cumsum(n))][: len(n)] == [np.unique(w[i:j]).tolist() for i, j in zip(a, b, strict=True)]
+            assert len(own) == n.sum()
